@@ -31,19 +31,18 @@ FEATURES = ("log_words", "word_length", "symbol_rate", "upper_rate", "digit_rate
 
 def features(text: str | None) -> list[float]:
     """Transformed statistics of a whole text; an empty text has a vector too."""
-    n, chars, symbols, dup, repeat, lines, upper, shouts = base_statistics(text)
+    n, chars, symbols, dup, repeat, lines, upper, shouts, runs = base_statistics(text)
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     w, c = max(n, 1), max(chars, 1)
     if n:
         distinct = set(words)
-        runs = sum(map(bytes.__eq__, words, words[1:]))
         h = np.fromiter(map(hash, words), np.int64, n)
         h.sort()
         edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
         top = int(np.diff(edges).max())
     else:
-        distinct, runs, top = (), 0, 0
+        distinct, top = (), 0
     log = np.log
     return [
         float(log(n + 1.0)),

@@ -34,23 +34,23 @@ LAST_BIN = 1200
 MIN_GROUP = 200
 FENCE = 3.0
 #: metric -> least spread that counts as one inter-quartile range.
-METRICS = {"symbol_rate": 0.05, "upper_rate": 0.06, "dup_line_rate": 0.1, "repeat_rate": 0.05, "shout_rate": 0.05, "word_length": 1.0}
+METRICS = {"symbol_rate": 0.05, "upper_rate": 0.06, "dup_line_rate": 0.2, "repeat_rate": 0.09, "run_rate": 0.05, "shout_rate": 0.05, "word_length": 1.0}
 #: Share of a group that is taken to be sound when a fence is drawn: the fence's
 #: upper quartile is that of the sound part, so a bad minority can't widen it.
 SOUND_SHARE = 0.7
 
-BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_shouts long"
+BASE_SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_shouts long, n_runs long"
 
 
 def base_statistics(text: str | None) -> tuple[int, ...]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_shouts) of a whole text."""
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_shouts, n_runs) of a whole text."""
     if not text:
-        return (0,) * 8
+        return (0,) * 9
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
     if not n:
-        return (0, 0, len(raw) - len(raw.translate(None, SYMBOLS)), 0, 0, 0, 0, 0)
+        return (0, 0, len(raw) - len(raw.translate(None, SYMBOLS)), 0, 0, 0, 0, 0, 0)
     white = len(raw) - len(raw.translate(None, WHITE))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     upper = len(raw) - len(raw.translate(None, UPPER))
@@ -67,7 +67,7 @@ def base_statistics(text: str | None) -> tuple[int, ...]:
             np.add.at(edge, starts, 1)
             np.add.at(edge, starts + WINDOW_WORDS, -1)
             repeated = int((np.cumsum(edge[:n]) > 0).sum())
-    return (n, len(text) - white, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, shouts)
+    return (n, len(text) - white, symbols, len(lines) - len(set(lines)), repeated, len(lines), upper, shouts, sum(map(bytes.__eq__, words, words[1:])))
 
 
 def with_base_statistics(docs: DataFrame, keep: str) -> DataFrame:
@@ -92,6 +92,7 @@ def _metrics(df: DataFrame) -> DataFrame:
             "upper_rate": F.col("n_upper") / chars,
             "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
             "repeat_rate": F.col("n_repeat_words") / words,
+            "run_rate": F.col("n_runs") / words,
             "shout_rate": F.col("n_shouts") / words,
             "word_length": F.col("word_chars") / words,
         }
