@@ -8,7 +8,8 @@ from .packing import op9_best_fit_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op2_quality_rules
 from .sharding import op5_sharding
+from .suffix_dedup import op10_suffix_dedup
 from .topk_search import op6_topk_search
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_language_id, op5_sharding, op6_topk_search, op7_bpe_codec, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_language_id, op5_sharding, op6_topk_search, op7_bpe_codec, op9_best_fit_packing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
