@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, mix64, read_table, shuffle_width, written
+from .keyfilter import key_filter
 
 LENGTH = 50
 GRAM = 24
@@ -46,8 +47,6 @@ HOT_PLACES = 2000
 CHUNK = 1 << 20
 POSITION_BITS = 28
 HASH_BYTES = 5
-#: Largest filter of document keys sent to the executors, in bits; beyond it more texts pass the filter.
-FILTER_BITS = 1 << 27
 
 OUT = "kind int, part int, run long, uid long, blob binary"
 MARK, CONTEXT_RUN, WINDOW_RUN = 0, 1, 2
@@ -361,30 +360,6 @@ def windows_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- the operator
 
 
-def _key_filter(keys: DataFrame):
-    """A bitmap of document keys as a row predicate: no false negatives, at most FILTER_BITS."""
-    n = keys.count()
-    bits = 1 << 10
-    while bits < 16 * n and bits < FILTER_BITS:
-        bits *= 2
-    slot = F.pmod(F.col("uid"), F.lit(bits))
-    words = keys.select(F.shiftright(slot, 5).alias("w"), F.expr("shiftleft(1L, cast(pmod(uid, 32L) as int)) AS b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).collect()
-    table = np.zeros(bits // 32, np.uint32)
-    for r in words:
-        table[r["w"]] = r["b"]
-    session = keys.sparkSession
-    shared = session.sparkContext.broadcast(table)
-
-    def run(batches):
-        t = shared.value
-        for b in batches:
-            s = np.mod(b.column("uid").to_numpy(), bits)
-            hit = (t[s >> 5] >> (s & 31).astype(np.uint32)) & 1
-            yield b.filter(pa.array(hit.astype(bool)))
-
-    return lambda df: df.mapInArrow(run, df.schema)
-
-
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per input row.
 
@@ -468,7 +443,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     drop_written(seen)
 
     # 2. runs of contexts
-    pass_shared = _key_filter(shared.select("uid"))
+    pass_shared = key_filter(shared.select("uid"))
     joined_text = pass_shared(able).join(shared, "uid")
     low_mask = np.uint64((1 << (8 * HASH_BYTES)) - 1)
 
@@ -582,7 +557,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 out.append((gone, len(s), b"".join(kept)))
             yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["uid", "n_removed", "n_spans", "kept"])
 
-    pass_marked = _key_filter(marks.select("uid"))
+    pass_marked = key_filter(marks.select("uid"))
     cut = pass_marked(able).select("uid", "text").join(marks, "uid").mapInArrow(remove, "uid long, n_removed long, n_spans long, kept binary")
     return base, cut
 
