@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folder for tables between stages where the session names none (tests, one machine).
 LOCAL_SCRATCH = "/tmp/gridloom-scratch"
@@ -49,6 +51,20 @@ def drop_written(df: DataFrame) -> None:
         parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer referred to.
+
+    It does so when the driver collects its garbage, which by itself may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def row_key() -> Column:
+    """A key of a document row from its id and text; a null text is as an empty one."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; None yields nothing."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, read_table, written
+from .common import map_batches, read_table, row_key, written
 from .quality_rules import base_statistics
 
 HELD_OUT_MOD, HELD_OUT_REST = 4, 2
@@ -65,12 +65,12 @@ def features(text: str | None) -> list[float]:
 def with_features(docs: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [features(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("fold"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "held_out", "fold", "x"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("fold"), batch.column("row_key"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "held_out", "fold", "row_key", "x"])
 
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     held = F.coalesce(crc % HELD_OUT_MOD == HELD_OUT_REST, F.lit(False))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce((crc / HELD_OUT_MOD).cast("long") % FOLDS, F.lit(0)).cast("int").alias("fold"), "text")
-    return map_batches(slim, run, "doc_id long, held_out boolean, fold int, x array<double>")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.coalesce((crc / HELD_OUT_MOD).cast("long") % FOLDS, F.lit(0)).cast("int").alias("fold"), row_key().alias("row_key"), "text")
+    return map_batches(slim, run, "doc_id long, held_out boolean, fold int, row_key long, x array<double>")
 
 
 def moments(labelled: DataFrame) -> np.ndarray:
@@ -183,9 +183,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.stack(batch.column("x").to_numpy(zero_copy_only=False))
         score = 1 / (1 + np.exp(-(slope * whole.difference(x) + intercept)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= ACCEPT).astype(np.int32)), batch.column("row_key")], names=["doc_id", "held_out", "score", "predicted", "row_key"])
 
-    return map_batches(table, lambda b: run(b) if b.num_rows else None, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(table, lambda b: run(b) if b.num_rows else None, "doc_id long, held_out boolean, score double, predicted int, row_key long")
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import combine, map_batches, read_table, written
+from .common import combine, map_batches, read_table, row_key, written
 
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -156,8 +156,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     sources form groups of their own; ties and repeated rows get equal
     verdicts; an empty table gives no rows; other columns are not read.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    stats = written(_metrics(with_base_statistics(slim, "doc_id long, lang string, source string")), "quality-stats")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), row_key().alias("row_key"), "text")
+    stats = written(_metrics(with_base_statistics(slim, "doc_id long, lang string, source string, row_key long")), "quality-stats")
     limits = written(thresholds(stats), "quality-limits")
     side = F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -167,7 +167,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     return (
         stats.alias("s")
         .join(side.alias("t"), F.col("s.lang").eqNullSafe(F.col("t.lang")) & F.col("s.source").eqNullSafe(F.col("t.source")), "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.coalesce(fine, F.lit(True))).alias("kept"), *METRICS, *[f"max_{m}" for m in METRICS])
+        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.coalesce(fine, F.lit(True))).alias("kept"), "row_key", *METRICS, *[f"max_{m}" for m in METRICS])
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op7_bpe_codec
 from .jaccard_join import op8_jaccard_join
 from .language_id import op4_language_id
+from .license_scan import op1_license_scan
 from .packing import op9_best_fit_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op2_quality_rules
@@ -12,5 +13,5 @@ from .sharding import op5_sharding
 from .suffix_dedup import op10_suffix_dedup
 from .topk_search import op6_topk_search
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_language_id, op5_sharding, op6_topk_search, op7_bpe_codec, op8_jaccard_join, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_language_id, op5_sharding, op6_topk_search, op7_bpe_codec, op8_jaccard_join, op9_best_fit_packing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
