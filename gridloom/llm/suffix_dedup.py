@@ -5,7 +5,8 @@ a smaller id.  Any such string holds ``LENGTH - GRAM + 1`` grams of ``GRAM``
 bytes, of which the least by hash, the leftmost of equals, is its anchor; equal
 strings have equal anchors.  So the steps are:
 
-1. Anchors of all documents; their hashes, packed by task, show which anchors
+0. A document whose whole text a smaller id has too is a copy and goes at once.
+1. Anchors of all other documents; their hashes, packed by task, show which anchors
    occur in two documents or more.  Only those go on.
 2. Each task sorts the suffixes at its anchors, with what stands before them,
    cut to the ``CONTEXT`` bytes that can matter.  Equal ones shrink to that of
@@ -23,17 +24,18 @@ Marks are joined to the texts of marked documents alone.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, mix64, read_table, shuffle_width, written
-from .keyfilter import key_filter
+from .common import mix64, read_table, release, row_key, shuffle_width, written
+from .keyfilter import expand, key_filter, key_test
 
 LENGTH = 50
 GRAM = 24
@@ -45,9 +47,13 @@ PAD = 0xFF
 HOT_PLACES = 2000
 #: Bytes of text taken up at once (a longer text is taken whole).
 CHUNK = 1 << 20
+#: Bytes of text, anchors and windows that one sorted run takes up.
+RUN_BYTES, RUN_ANCHORS, RUN_WINDOWS = 6 << 20, 100_000, 8_000
 POSITION_BITS = 28
 HASH_BYTES = 5
 
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
+
 OUT = "kind int, part int, run long, uid long, blob binary"
 MARK, CONTEXT_RUN, WINDOW_RUN = 0, 1, 2
 
@@ -59,14 +65,21 @@ def _gram_hashes(buf: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each position (the last ones run short)."""
     n = len(buf)
     h = buf.astype(np.uint64)
-    step, parts = 1, {}
-    for mult in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93):
+    full, step = None, 1
+    for mult in MULTIPLIERS:
+        if GRAM & step:  # lengths add up to GRAM, from the smallest power of two on
+            if full is None:
+                full = h
+            else:
+                out = h * np.uint64(0xA0761D6478BD642F)
+                out[: n - step] += full[step:]
+                full = out
+        if step * 2 > GRAM:
+            break
         out = h * np.uint64(mult)
         out[: n - step] += h[step:]
+        h = out
         step *= 2
-        parts[step] = h = out
-    full = parts[16] * np.uint64(0xA0761D6478BD642F)
-    full[: n - 16] += parts[8][16:]
     return mix64(full)
 
 
@@ -82,6 +95,18 @@ def _chunks(texts: list[bytes]):
         yield first, texts[first:]
 
 
+def _slices(batches):
+    """Batches cut to about RUN_BYTES of text."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, before + RUN_BYTES, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(buffer, anchor places in it, their hashes, their text's index, start of each text in it)."""
     gap = bytes([PAD]) * 64
@@ -108,15 +133,23 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def _part(h: np.ndarray, parts: int) -> np.ndarray:
-    """Even share of the hash range, from the high bits."""
-    return ((h >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    """Even share of hashes; mixed again, as anchors have small ones."""
+    return ((mix64(h ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
 def _low(h: np.ndarray) -> np.ndarray:
-    """Low bytes that name a hash within its part."""
+    """Low bytes, which name a hash within its part."""
     return np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
 
 
+def _named(raw: bytes) -> np.ndarray:
+    """Hashes in their low bytes, and above them whether they are hot."""
+    low = np.frombuffer(raw, np.uint8).reshape(-1, HASH_BYTES + 1)
+    wide = np.zeros((len(low), 8), np.uint8)
+    wide[:, : HASH_BYTES + 1] = low
+    return wide.view("<u8").ravel()
+
+
 # ---------------------------------------------------------------- front coding and the loser tree
 
 
@@ -226,22 +259,74 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]], width: int) -> tuple[l
     return order, shared
 
 
-def pack_run(keys: np.ndarray, doc: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> bytes:
-    shared, rest = front_code(keys)
-    head = np.array([len(keys)], np.int64).tobytes()
-    return zlib.compress(head + shared.tobytes() + doc.astype(np.int64).tobytes() + uid.astype(np.int64).tobytes() + pos.astype(np.int64).tobytes() + rest, 1)
+def key_of(doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """A document's key: the high half of its id's xxHash64 (seed 42, as Spark has it), then the tag."""
+    with np.errstate(over="ignore"):
+        p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+        turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+        h = turn(doc.view(np.uint64) * p2, 31) * p1 ^ (np.uint64(42 + 8) + p5)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h ^= h >> np.uint64(32)
+    return (h & ~np.uint64(0xFFFFFFFF) | tag.astype(np.uint64)).view(np.int64)
 
 
-def unpack_run(blob: bytes, width: int):
-    raw = zlib.decompress(blob)
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    shared = np.frombuffer(raw, np.uint8, n, 8)
-    doc, uid, pos = (np.frombuffer(raw, np.int64, n, 8 + n + 8 * n * i) for i in range(3))
-    return front_decode(shared, raw[8 + n + 24 * n :], width), shared, doc, uid, pos
+class Rows:
+    """Whose a key is: document, its key, and the places in its text where the key was found."""
+
+    def __init__(self, doc, uid, places, count, back=None):
+        self.doc, self.uid, self.places, self.count = doc, uid, places, count
+        self.first = np.cumsum(count) - count
+        self.back = np.zeros(len(doc), np.int64) if back is None else back
+
+    @staticmethod
+    def single(doc, uid, pos):
+        return Rows(doc, uid, pos, np.ones(len(doc), np.int64))
+
+    def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of all places of ``rows``, in their order."""
+        c = self.count[rows]
+        within = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        which = np.repeat(rows, c)
+        return which, self.places[self.first[which] + within] - self.back[which]
+
+
+def _ends(at: np.ndarray, n: int) -> np.ndarray:
+    return np.append(at[1:], n)
 
 
-def merged(blobs, width: int):
-    """(keys, shared prefix, doc, uid, pos) of all runs in one order."""
+_squeeze = zstandard.ZstdCompressor(level=5)
+
+
+def pack_run(keys: np.ndarray, rows: Rows, pick: np.ndarray) -> bytes:
+    """Rows ``pick``, sorted by key and document; those of one document and key are one entry."""
+    k, u = keys[pick], rows.uid[pick]
+    new = np.ones(len(pick), bool)
+    new[1:] = (u[1:] != u[:-1]) | (k[1:] != k[:-1]).any(1)
+    at = np.flatnonzero(new)
+    shared, rest = front_code(k[at])
+    which, places = rows.expand(pick)
+    count = np.add.reduceat(rows.count[pick], at)
+    head = np.array([len(at), len(places)], np.int64).tobytes()
+    return _squeeze.compress(head + rows.doc[pick][at].astype(np.int64).tobytes() + u[at].view(np.uint64).astype("<u4").tobytes() + count.astype("<u4").tobytes() + places.astype("<u4").tobytes() + shared.tobytes() + rest)
+
+
+def unpack_run(blob: bytes, width: int):
+    raw = expand(blob)
+    n, m = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    at = 16
+    doc, tag = np.frombuffer(raw, np.int64, n, at), np.frombuffer(raw, "<u4", n, at + 8 * n)
+    uid = key_of(doc, tag)
+    at += 12 * n
+    count, places = np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, "<u4", m, at + 4 * n)
+    at += 4 * (n + m)
+    shared = np.frombuffer(raw, np.uint8, n, at)
+    return front_decode(shared, raw[at + n :], width), shared, doc, uid, count.astype(np.int64), places.astype(np.int64)
+
+
+def merged(blobs, width: int) -> tuple[np.ndarray, np.ndarray, Rows]:
+    """(keys, shared prefix, rows) of all runs in one order."""
     runs = [unpack_run(b, width) for b in blobs]
     keys = np.concatenate([r[0] for r in runs])
     flat = keys.tobytes()
@@ -251,9 +336,11 @@ def merged(blobs, width: int):
         named.append(([flat[(base + i) * width : (base + i + 1) * width] for i in range(n)], r[1].tolist()))
         base += n
     order, shared = merge_runs(named, width)
+    del named, flat
     order = np.array(order, np.int64)
-    doc, uid, pos = (np.concatenate([r[i] for r in runs])[order] for i in (2, 3, 4))
-    return keys[order], np.array(shared, np.int64), doc, uid, pos
+    doc, uid, count, places = (np.concatenate([r[i] for r in runs]) for i in (2, 3, 4, 5))
+    whole = Rows(doc, uid, places, count)
+    return keys[order], np.array(shared, np.int64), Rows(doc[order], uid[order], whole.expand(order)[1], count[order])
 
 
 # ---------------------------------------------------------------- marks
@@ -264,7 +351,7 @@ def pack_marks(uid: np.ndarray, start: np.ndarray, end: np.ndarray):
     order = np.lexsort((start, uid))
     uid, start, end = uid[order], start[order], end[order]
     first = np.flatnonzero(np.concatenate(([True], uid[1:] != uid[:-1]))) if len(uid) else np.empty(0, np.int64)
-    for lo, hi in zip(first, [*first[1:], len(uid)]):
+    for lo, hi in zip(first, _ends(first, len(uid))):
         s, e = joined(start[lo:hi], end[lo:hi])
         yield int(uid[lo]), np.stack((s, e), 1).astype(np.int64).tobytes()
 
@@ -276,7 +363,7 @@ def joined(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     upto = np.maximum.accumulate(end)
     new = np.concatenate(([True], start[1:] > upto[:-1]))
     at = np.flatnonzero(new)
-    return start[at], upto[np.concatenate((at[1:] - 1, [len(start) - 1]))]
+    return start[at], upto[_ends(at, len(start)) - 1]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -298,32 +385,37 @@ def _row_hash(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def sorted_runs(keys, part, doc, uid, pos, end_of, run: int, kind: int) -> list[tuple]:
+def sorted_runs(keys, part, rows: Rows, span, run: int, kind: int) -> list[tuple]:
     """Sort rows, mark those that a smaller document of this task has too, pack the rest by part.
 
-    ``end_of(rows)`` gives (start, end) of what a row marks, or an empty span.
+    ``span(row, place)`` gives (start, end) of what a key marks where it stands.
     """
     if not len(keys):
         return []
     words = _words(keys)
-    order = np.lexsort((pos, doc, *[words[:, i] for i in range(words.shape[1] - 1, -1, -1)], part))
+    order = np.lexsort((rows.uid, rows.doc, *[words[:, i] for i in range(words.shape[1] - 1, -1, -1)], part))
     words, part = words[order], part[order]
-    new = np.concatenate(([True], (words[1:] != words[:-1]).any(1) | (part[1:] != part[:-1])))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[1:] != words[:-1]).any(1) | (part[1:] != part[:-1])
+    del words
     at = np.flatnonzero(new)
-    least = np.repeat(doc[order[at]], np.diff([*at, len(order)]))  # rows of a group are in order of doc
-    later = doc[order] > least
-    rows = []
-    gone = order[later]
-    if len(gone):
-        s, e = end_of(gone)
-        ok = e - s >= LENGTH
-        rows += [(MARK, 0, run, u, b) for u, b in pack_marks(uid[gone][ok], s[ok], e[ok])]
+    least = np.repeat(rows.doc[order[at]], _ends(at, len(order)) - at)  # rows of a group are in order of doc
+    later = rows.doc[order] > least
+    out = marks_of(rows, order[later], span)
     stay, part = order[~later], part[~later]
-    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    for lo, hi in zip(cuts, [*cuts[1:], len(stay)]):
-        r = stay[lo:hi]
-        rows.append((kind, int(part[lo]), run, 0, pack_run(keys[r], doc[r], uid[r], pos[r])))
-    return rows
+    new = np.ones(len(part), bool)
+    new[1:] = part[1:] != part[:-1]
+    cuts = np.flatnonzero(new)
+    return out + [(kind, int(part[lo]), run, 0, pack_run(keys, rows, stay[lo:hi])) for lo, hi in zip(cuts, _ends(cuts, len(part)))]
+
+
+def marks_of(rows: Rows, some: np.ndarray, span) -> list[tuple]:
+    if not len(some):
+        return []
+    which, place = rows.expand(some)
+    s, e = span(which, place)
+    ok = e - s >= LENGTH
+    return [(MARK, -1, 0, u, b) for u, b in pack_marks(rows.uid[which][ok], s[ok], e[ok])]
 
 
 #: A context's columns in sorting order: from the anchor on, then what stands before it, nearest first.
@@ -331,14 +423,38 @@ ORDER = np.concatenate((np.arange(REACH, CONTEXT), np.arange(REACH - 1, -1, -1))
 BACK = np.argsort(ORDER)
 
 
-def _span(contexts: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What a context (in text order) covers of its text, from its anchor's place."""
-    real = contexts != PAD
-    return pos - real[:, :REACH].sum(1), pos + real[:, REACH:].sum(1)
+def borders(keys: np.ndarray, lcp: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(least, most) bytes before the anchor that a window shared with another context can have.
+
+    ``keys`` are distinct and sorted.  What a context shares with any other of
+    its anchor, to the right and to the left, it shares with a neighbour in the
+    order of that side.  Where contexts of one anchor are dealt ``apart``,
+    neighbours say nothing and all windows count.
+    """
+    n = len(keys)
+    if apart:
+        return np.zeros(n, np.int64), np.full(n, REACH)
+    first = np.where(lcp >= GRAM, lcp, 0)  # shared with the one before, if that has the same anchor
+    first[0] = 0
+    right = np.minimum(np.maximum(first, np.append(first[1:], 0)), LENGTH) - GRAM
+    group = np.cumsum(first < GRAM)
+    left = keys[:, LENGTH:]
+    words = _words(left)
+    order = np.lexsort((*[words[:, i] for i in range(words.shape[1] - 1, -1, -1)], group))
+    sorted_ = left[order]
+    same = np.zeros(n, np.int64)
+    if n > 1:
+        differ = sorted_[1:] != sorted_[:-1]
+        shared = np.where(differ.any(1), differ.argmax(1), REACH)
+        same[1:] = np.where(group[order][1:] == group[order][:-1], shared, -1)
+    same[0] = -1
+    most = np.empty(n, np.int64)
+    most[order] = np.maximum(same, np.append(same[1:], -1))
+    return np.where(right < 0, REACH + 1, REACH - right), most
 
 
-def windows_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, offset before the anchor) of the windows whose anchor is the context's."""
+def windows_of(contexts: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset before the anchor) of the windows in bounds whose anchor is the context's."""
     n = len(contexts)
     grams = CONTEXT - GRAM + 1
     h = _gram_hashes(np.concatenate((contexts.ravel(), np.zeros(CONTEXT, np.uint8))))[: n * CONTEXT].reshape(n, CONTEXT)[:, :grams]
@@ -351,7 +467,7 @@ def windows_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fits = inside[:, lo] & inside[:, lo + LENGTH - 1]
         left = (h[:, lo:REACH] > own[:, None]).all(1)
         right = (h[:, REACH + 1 : lo + REACH + 1] >= own[:, None]).all(1)
-        r = np.flatnonzero(fits & left & right)
+        r = np.flatnonzero(fits & left & right & (low <= o) & (o <= high))
         rows.append(r)
         offsets.append(np.full(len(r), o))
     return np.concatenate(rows), np.concatenate(offsets)
@@ -360,8 +476,8 @@ def windows_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- the operator
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, one row per input row.
+def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sizes of all rows and which are copies of a smaller id's text, what is left of the others that lose something), by row key.
 
     Null texts are empty.  A row with a null id has no place in the order: it
     loses nothing and takes nothing from others.  Rows of one id don't take
@@ -369,94 +485,124 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     LENGTH bytes are kept whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("uid"), text.cast("binary").alias("text"))
-    base = keyed.select("doc_id", "uid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    uid = F.expr("(xxhash64(cast(doc_id as bigint)) & -4294967296L) | (row_key & 4294967295L)")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text.alias("text")).select("doc_id", "row_key", uid.alias("uid"), "text")
+    base = keyed.select("doc_id", "row_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    base = written(base, "suffix-base")
+    # a whole text that a smaller id has too goes at once
+    first_of = base.filter(F.col("doc_id").isNotNull() & (F.col("n_bytes") >= LENGTH)).groupBy("whole").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
+    first_of = written(first_of, "suffix-copied")
+    base = written(base.join(first_of, "whole", "left").withColumn("is_copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first", "copies"), "suffix-marked")
+    is_copy = key_test(base.filter("is_copy").select(F.col("row_key").alias("uid")), base.filter("NOT is_copy").select(F.col("row_key").alias("uid")))
     able = keyed.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     parts = max(shuffle_width(spark), 1)
 
-    # 1. anchor hashes by task and part
+    # 1. anchor hashes by part, with the low halves of their documents' keys
     def hashes(batches):
-        import uuid
-
-        for b in batches:
-            texts, uids = b.column("text").to_pylist(), b.column("uid").to_numpy()
-            run = uuid.uuid4().int & ((1 << 62) - 1)
+        for b in _slices(batches):
+            b = b.filter(pa.array(~is_copy(b.column("row_key").to_numpy())))
+            if not b.num_rows:
+                continue
+            texts, tags = b.column("text").to_pylist(), b.column("uid").to_numpy().view(np.uint64).astype("<u4")
             own_h, own_t = [], []
             for first, some in _chunks(texts):
                 _, _, h, t, _ = anchors(some)
                 own_h.append(h)
                 own_t.append(t + first)
-            if not own_h:
-                continue
             h, t = np.concatenate(own_h), np.concatenate(own_t)
             p = _part(h, parts)
             order = np.lexsort((h, t, p))
             h, t, p = h[order], t[order], p[order]
-            fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1]))) if len(h) else np.empty(0, bool)
-            h, t, p = h[fresh], t[fresh], p[fresh]
-            cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else []
-            rows = [(int(p[lo]), run, np.bincount(t[lo:hi], minlength=len(texts)).astype("<u2").tobytes() if np.bincount(t[lo:hi]).max() < 65536 else None, _low(h[lo:hi]).tobytes(), None) for lo, hi in zip(cuts, [*cuts[1:], len(p)])]
-            wide = [(i, r) for i, r in enumerate(rows) if r[2] is None]
-            for i, r in wide:
-                lo, hi = cuts[i], [*cuts[1:], len(p)][i]
-                rows[i] = (r[0], r[1], np.bincount(t[lo:hi], minlength=len(texts)).astype("<u4").tobytes(), r[3], None)
-            rows.append((-1, run, uids.astype(np.int64).tobytes(), None, None))
-            yield pa.RecordBatch.from_pylist([{"part": r[0], "run": r[1], "docs": r[2], "hashes": r[3], "n": len(texts)} for r in rows], schema=pa.schema([("part", pa.int32()), ("run", pa.int64()), ("docs", pa.binary()), ("hashes", pa.binary()), ("n", pa.int32())]))
-
-    seen = written(able.select("uid", "text").mapInArrow(hashes, "part int, run long, docs binary, hashes binary, n int"), "suffix-anchors")
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1])
+            h, t, p = h[new], t[new], p[new]
+            new = np.ones(len(p), bool)
+            new[1:] = p[1:] != p[:-1]
+            cuts = np.flatnonzero(new)
+            rows = []
+            for lo, hi in zip(cuts, _ends(cuts, len(p))):
+                own, per = np.unique(t[lo:hi], return_counts=True)
+                rows.append({"part": int(p[lo]), "tags": tags[own].tobytes(), "per": per.astype("<u4").tobytes(), "hashes": _low(h[lo:hi]).tobytes()})
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("tags", pa.binary()), ("per", pa.binary()), ("hashes", pa.binary())]))
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, run, doc = [], [], []
-        for i, (d, low, n) in enumerate(zip(pdf["docs"], pdf["hashes"], pdf["n"])):
-            per = np.frombuffer(d, "<u2" if len(d) == 2 * n else "<u4")
-            wide = np.zeros((len(low) // HASH_BYTES, 8), np.uint8)
-            wide[:, :HASH_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, HASH_BYTES)
-            h.append(wide.view("<u8").ravel())
-            run.append(np.full(len(wide), i))
-            doc.append(np.repeat(np.arange(n), per))
-        h, run, doc = np.concatenate(h), np.concatenate(run), np.concatenate(doc)
+        low = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, HASH_BYTES)
+        wide = np.zeros((len(low), 8), np.uint8)
+        wide[:, :HASH_BYTES] = low
+        h = wide.view("<u8").ravel()
+        per = np.frombuffer(b"".join(pdf["per"]), "<u4")
+        doc = np.repeat(np.arange(len(per), dtype=np.int32), per)  # a document of one task
+        tags = np.frombuffer(b"".join(pdf["tags"]), "<u4")
         order = np.argsort(h, kind="stable")
         s = h[order]
-        at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        places = np.repeat(np.diff([*at, len(s)]), np.diff([*at, len(s)]))
-        many = order[places > 1]
-        hot = (places[places > 1] > HOT_PLACES).astype(np.uint64)
-        h, run, doc = h[many] | (hot << np.uint64(8 * HASH_BYTES)), run[many], doc[many]
-        order = np.lexsort((doc, run))
-        h, run, doc = h[order], run[order], doc[order]
-        cuts = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else []
-        out = [(int(pdf["run"].iloc[run[lo]]), int(doc[lo]), h[lo:hi].tobytes()) for lo, hi in zip(cuts, [*cuts[1:], len(h)])]
-        return pd.DataFrame(out, columns=["run", "doc", "shared"])
-
-    some = seen.filter("part >= 0").groupBy("part").applyInPandas(repeated, "run long, doc int, shared binary")
-
-    def names(batches):
-        for b in batches:
-            for run, raw in zip(b.column("run").to_pylist(), b.column("docs").to_pylist()):
-                u = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), run)), pa.array(np.arange(len(u), dtype=np.int32)), pa.array(u)], names=["run", "doc", "uid"])
-
-    numbered = seen.filter("part < 0").select("run", "docs").mapInArrow(names, "run long, doc int, uid long")
-    shared = some.groupBy("run", "doc").agg(F.collect_list("shared").alias("shared")).join(numbered, ["run", "doc"]).groupBy("uid").agg(F.flatten(F.collect_list("shared")).alias("shared"))
-    shared = written(shared, "suffix-shared")
-    drop_written(seen)
-
-    # 2. runs of contexts
-    pass_shared = key_filter(shared.select("uid"))
-    joined_text = pass_shared(able).join(shared, "uid")
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        at = np.flatnonzero(new)
+        size = _ends(at, len(s)) - at
+        places = np.repeat(size, size)
+        many = np.sort(order[places > 1])  # by document again
+        hot = np.zeros(len(h), np.uint8)
+        hot[order] = places > HOT_PLACES
+        wide[:, HASH_BYTES] = hot
+        doc = doc[many]
+        new = np.ones(len(doc), bool)
+        new[1:] = doc[1:] != doc[:-1]
+        cuts = np.flatnonzero(new)
+        named = np.ascontiguousarray(wide[many][:, : HASH_BYTES + 1])
+        count = _ends(cuts, len(doc)) - cuts
+        own = tags[doc[cuts]]
+        to = (mix64(own.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        new = np.ones(len(to), bool)
+        new[1:] = to[order][1:] != to[order][:-1]
+        at = np.flatnonzero(new)
+        rows = []
+        for lo, hi in zip(at, _ends(at, len(to))):
+            which = order[lo:hi]
+            rows.append((int(to[which[0]]), own[which].tobytes(), count[which].astype("<u4").tobytes(), b"".join(named[cuts[i] : cuts[i] + count[i]].tobytes() for i in which)))
+        return pd.DataFrame(rows, columns=["part", "tags", "per", "hashes"])
+
+    def by_tag(pdf: pd.DataFrame) -> pd.DataFrame:
+        tags = np.frombuffer(b"".join(pdf["tags"]), "<u4")
+        per = np.frombuffer(b"".join(pdf["per"]), "<u4").astype(np.int64)
+        named = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, HASH_BYTES + 1)
+        first = np.cumsum(per) - per
+        order = np.argsort(tags, kind="stable")
+        new = np.ones(len(tags), bool)
+        new[1:] = tags[order][1:] != tags[order][:-1]
+        at = np.flatnonzero(new)
+        out = [(int(tags[order[lo]]), b"".join(named[first[i] : first[i] + per[i]].tobytes() for i in order[lo:hi])) for lo, hi in zip(at, _ends(at, len(tags)))]
+        return pd.DataFrame(out, columns=["tag", "shared"]).astype({"tag": "int64"})
+
+    some = able.select("uid", "row_key", "text").mapInArrow(hashes, "part int, tags binary, per binary, hashes binary").groupBy("part").applyInPandas(repeated, "part int, tags binary, per binary, hashes binary")
+    shared = written(some.groupBy("part").applyInPandas(by_tag, "tag long, shared binary"), "suffix-shared")
+
+    del some
+    release(spark)
+
+    # 2. runs of contexts; a tag that two documents share only lets more anchors through
+    pass_shared = key_filter(shared.select(F.col("tag").alias("uid")))
+    tagged = pass_shared(able.select("doc_id", F.col("uid").alias("key"), F.expr("uid & 4294967295L").alias("uid"), "text"), squeeze="text")
+    joined_text = tagged.join(shared, tagged["uid"] == shared["tag"]).select("doc_id", F.col("key").alias("uid"), "text", "shared")
     low_mask = np.uint64((1 << (8 * HASH_BYTES)) - 1)
 
-    def contexts(batches):
-        import uuid
+    def flush(held):
+        if not held:
+            return
+        keys, part, doc, uid, pos = (np.concatenate(x) for x in zip(*held))
+        before = (keys[:, LENGTH:] != PAD).sum(1)
+        after = (keys[:, :LENGTH] != PAD).sum(1)
+        rows = sorted_runs(keys, part, Rows.single(doc, uid, pos), lambda r, q: (q - before[r], q + after[r]), uuid.uuid4().int & ((1 << 62) - 1), CONTEXT_RUN)
+        if rows:
+            yield pa.RecordBatch.from_pandas(_frame(rows).astype({"kind": "int32", "part": "int32", "run": "int64", "uid": "int64"}), preserve_index=False)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = b.column("text").to_pylist()
+    def contexts(batches):
+        for b in _slices(batches):
+            texts = [expand(x) for x in b.column("text").to_pylist()]
             docs_, uids = b.column("doc_id").to_numpy(), b.column("uid").to_numpy()
-            want = [np.frombuffer(b"".join(x), np.uint64) for x in b.column("shared").to_pylist()]
-            keys, part, doc, uid, pos = [], [], [], [], []
+            want = [_named(x) for x in b.column("shared").to_pylist()]
+            held, count = [], 0
             for first, lot in _chunks(texts):
                 buf, place, h, t, starts = anchors(lot)
                 low = h & low_mask
@@ -481,70 +627,78 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                 p = _part(h, parts)
                 if hot.any():
                     p[hot] = parts + _part(_row_hash(_words(k[hot])), parts)
-                keys.append(k)
-                part.append(p)
-                doc.append(docs_[first + t])
-                uid.append(uids[first + t])
-                pos.append(place - starts[t])
-            keys, part, doc, uid, pos = (np.concatenate(x) for x in (keys, part, doc, uid, pos))
-            run = uuid.uuid4().int & ((1 << 62) - 1)
-            rows = sorted_runs(keys, part, doc, uid, pos, lambda r: _span(keys[r][:, BACK], pos[r]), run, CONTEXT_RUN)
-            if rows:
-                yield pa.RecordBatch.from_pandas(_frame(rows).astype({"kind": "int32", "part": "int32", "run": "int64", "uid": "int64"}), preserve_index=False)
-
-    first = written(joined_text.mapInArrow(contexts, OUT), "suffix-contexts")
+                held.append((k, p, docs_[first + t], uids[first + t], place - starts[t]))
+                count += len(k)
+                if count >= RUN_ANCHORS:
+                    yield from flush(held)
+                    held, count = [], 0
+            yield from flush(held)
+
+    # marks travel with the runs, dealt by document, so that nothing need be read twice
+    first = joined_text.mapInArrow(contexts, OUT)
 
     # 3. merge of contexts; borders go on as windows
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs = pdf["kind"] == CONTEXT_RUN
+        passed = list(pdf[~runs].itertuples(index=False, name=None))
+        pdf = pdf[runs]
+        if not len(pdf):
+            return _frame(passed)
         p = int(pdf["part"].iloc[0])
-        keys, lcp, doc, uid, pos = merged(pdf["blob"], CONTEXT)
+        keys, lcp, rows = merged(pdf["blob"], CONTEXT)
+        n = len(keys)
+        before, after = (keys[:, LENGTH:] != PAD).sum(1), (keys[:, :LENGTH] != PAD).sum(1)
         new = lcp < CONTEXT
         new[0] = True
         at = np.flatnonzero(new)
-        size = np.diff([*at, len(doc)])
-        least = np.repeat(np.minimum.reduceat(doc, at), size)
-        ctx = keys[:, BACK]
-        later = doc > least
-        s, e = _span(ctx[later], pos[later])
-        ok = e - s >= LENGTH
-        rows = [(MARK, 0, 0, u, x) for u, x in pack_marks(uid[later][ok], s[ok], e[ok])]
-        # an anchor in more than one context: neighbours share it but not all; at the ends of a part's order it is taken for granted where anchors are split
-        near = lcp[at] >= GRAM
-        border = near | np.concatenate((near[1:], [False]))
-        if p >= parts:
-            border[:] = True
-        mine = np.flatnonzero(~later & np.repeat(border, size))
-        for lo in range(0, len(mine), 50_000):
-            r0 = mine[lo : lo + 50_000]
-            c = ctx[r0]
-            row, off = windows_of(c)
+        size = _ends(at, n) - at
+        least = np.repeat(np.minimum.reduceat(rows.doc, at), size)
+        later = rows.doc > least
+        out = passed + marks_of(rows, np.flatnonzero(later), lambda r, q: (q - before[r], q + after[r]))
+        low, high = borders(keys[at], lcp[at], p >= parts)
+        low, high = np.repeat(low, size), np.repeat(high, size)
+        mine = np.flatnonzero(~later & (low <= high))
+        for lo in range(0, len(mine), RUN_WINDOWS):
+            r0 = mine[lo : lo + RUN_WINDOWS]
+            c = keys[r0][:, BACK]
+            row, off = windows_of(c, low[r0], high[r0])
             if not len(row):
                 continue
             w = c.ravel()[(row * CONTEXT + REACH - off)[:, None] + np.arange(LENGTH)]
-            d, u, q = doc[r0][row], uid[r0][row], pos[r0][row] - off
-            rows += sorted_runs(w, _part(_row_hash(_words(w)), parts), d, u, q, lambda r, q=q: (q[r], q[r] + LENGTH), p, WINDOW_RUN)
-        return _frame(rows)
+            which, place = rows.expand(r0)
+            some = Rows(rows.doc[r0], rows.uid[r0], place, rows.count[r0])
+            own = Rows(some.doc[row], some.uid[row], some.places, some.count[row], off)
+            own.first = some.first[row]
+            out += sorted_runs(w, _part(_row_hash(_words(w)), parts), own, lambda r, q: (q, q + LENGTH), (p << 20) + lo, WINDOW_RUN)
+        return _frame(out)
 
-    second = written(first.filter(F.col("kind") == CONTEXT_RUN).groupBy("part").applyInPandas(meet, OUT), "suffix-windows")
+    dealt = F.when(F.col("part") < 0, F.pmod("uid", F.lit(parts)).cast("int")).otherwise(F.col("part"))
+    second = first.withColumn("part", dealt).groupBy("part").applyInPandas(meet, OUT)
 
     # 4. merge of windows
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, lcp, doc, uid, pos = merged(pdf["blob"], LENGTH)
+        runs = pdf["kind"] == WINDOW_RUN
+        passed = list(pdf[~runs].itertuples(index=False, name=None))
+        pdf = pdf[runs]
+        if not len(pdf):
+            return _frame(passed)
+        _, lcp, rows = merged(pdf["blob"], LENGTH)
         new = lcp < LENGTH
         new[0] = True
         at = np.flatnonzero(new)
-        least = np.repeat(np.minimum.reduceat(doc, at), np.diff([*at, len(doc)]))
-        later = doc > least
-        return _frame([(MARK, 0, 0, u, x) for u, x in pack_marks(uid[later], pos[later], pos[later] + LENGTH)])
+        least = np.repeat(np.minimum.reduceat(rows.doc, at), _ends(at, len(lcp)) - at)
+        return _frame(passed + marks_of(rows, np.flatnonzero(rows.doc > least), lambda r, q: (q, q + LENGTH)))
+
+    third = second.withColumn("part", dealt).groupBy("part").applyInPandas(settle, OUT)
+    marks = written(third.select("uid", "blob").groupBy("uid").agg(F.collect_list("blob").alias("marks")), "suffix-marks")
 
-    third = second.filter(F.col("kind") == WINDOW_RUN).groupBy("part").applyInPandas(settle, OUT)
-    marks = first.filter(F.col("kind") == MARK).union(second.filter(F.col("kind") == MARK)).union(third)
-    marks = written(marks.select("uid", "blob").groupBy("uid").agg(F.collect_list("blob").alias("marks")), "suffix-marks")
+    del first, second, third, joined_text, tagged
+    release(spark)
 
     def remove(batches):
         for b in batches:
             out = []
-            for raw, blobs in zip(b.column("text").to_pylist(), b.column("marks").to_pylist()):
+            for raw, blobs in zip(map(expand, b.column("text").to_pylist()), b.column("marks").to_pylist()):
                 m = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
                 m = m[np.argsort(m[:, 0], kind="stable")]
                 s, e = joined(m[:, 0], m[:, 1])
@@ -555,19 +709,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
                     last = y
                 kept.append(raw[last:])
                 out.append((gone, len(s), b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["uid", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["row_key", "n_removed", "n_spans", "kept"])
 
     pass_marked = key_filter(marks.select("uid"))
-    cut = pass_marked(able).select("uid", "text").join(marks, "uid").mapInArrow(remove, "uid long, n_removed long, n_spans long, kept binary")
+    cut = pass_marked(able.select("uid", "row_key", "text"), squeeze="text").join(marks, "uid").mapInArrow(remove, "row_key long, n_removed long, n_spans long, kept binary")
     return base, cut
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """The contract's columns: sizes and the digest of what is left."""
     base, cut = repeated_passages(docs)
-    done = cut.select("uid", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).groupBy("uid").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("sha").alias("sha"))
-    zero = F.lit(0).cast("long")
-    return base.join(done, "uid", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
+    done = cut.select("row_key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).groupBy("row_key").agg(F.max("n_removed").alias("n_removed"), F.max("n_spans").alias("n_spans"), F.max("sha").alias("sha"))
+    zero, copy = F.lit(0).cast("long"), F.col("is_copy")
+    return base.join(done, "row_key", "left").select(
+        "doc_id",
+        "n_bytes",
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(copy, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "whole")).alias("kept_sha256"),
+    )
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
