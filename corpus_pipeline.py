@@ -56,7 +56,8 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Cuts are by byte; what a cut leaves of a character is dropped.  A document
     of which nothing is left stays, with an empty text.
     """
-    _, cut = suffix_dedup.repeated_passages(docs)
+    base, cut = suffix_dedup.repeated_passages(docs)
+    cut = cut.select("row_key", "kept").union(base.filter("is_copy").select("row_key", F.lit("").cast("binary")))
     cut = written(cut.groupBy(F.col("row_key").alias("uid")).agg(F.first("kept").alias("kept")), "pipeline-cut")
     hit, rest = key_split(docs.withColumn("uid", row_key()), cut.select("uid"))
     whole = F.regexp_replace(F.expr("cast(kept as string)"), "\ufffd", "")
