@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +12,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library: its allocator trims itself or not
+    _libc = None
+
 #: Folder for tables between stages where the session names none (tests, one machine).
 LOCAL_SCRATCH = "/tmp/gridloom-scratch"
 
@@ -60,6 +66,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory of this worker back: workers live on between tasks, and keep their peaks else."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def row_key() -> Column:
     """A key of a document row from its id and text; a null text is as an empty one."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))

@@ -36,8 +36,8 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
-def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of letters and word ends, and the index of each one's text."""
+def grams(texts: list[str | None], gaps: int = GRAM - 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of letters and word ends with up to ``gaps`` gaps, and the index of each one's text."""
     gap = "\0" * (GRAM - 1)
     lowered = [(t or "").lower() for t in texts]
     joined = gap + gap.join(lowered) + gap
@@ -57,38 +57,51 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     n = len(value) - GRAM + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    acc, some, owners = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, np.int64)
+    acc, held, owners = np.zeros(n, np.uint64), np.zeros(n, np.int8), np.zeros(n, np.int64)
     for i in range(GRAM):
         part = value[i : i + n]
         acc = acc * np.uint64(0x1F123BB5F4A7C15D) + part
         has = part > 0
         owners[has] = own[i : i + n][has]  # all letters of a window are of one text
-        some |= has
+        held += has
+    some = (held > 0) & (held >= GRAM - gaps)
     return mix64(acc[some]), owners[some]
 
 
 def _pieces(texts: list[str | None]):
-    """(indices, texts) of about ``CHUNK`` characters; a longer text comes in overlapping parts."""
+    """(indices, texts, gaps) of about ``CHUNK`` characters.
+
+    A longer text comes in parts cut after words.  A part begins with the last
+    symbols of the one before, one fewer than an n-gram has, so that n-grams
+    over the cut are there and none counts twice; n-grams of more than one gap
+    don't count then.
+    """
     at, held, size = [], [], 0
     for i, t in enumerate(texts):
         t = t or ""
         if len(t) > CHUNK:
-            start = 0
+            start, lead = 0, ""
             while start < len(t):
                 end = min(len(t), start + CHUNK)
-                while 0 < end < len(t) and t[end - 1].isalpha() and end - start < 2 * CHUNK:
+                while end < len(t) and not (t[end - 2].isalpha() and not t[end - 1].isalpha()) and end - start < 2 * CHUNK:
                     end += 1
-                yield [i], [t[start:end]]
+                yield [i], [lead + t[start:end]], 1
+                lead = _symbols((lead + t[start:end])[-400:])[1 - GRAM :]
                 start = end
             continue
         at.append(i)
         held.append(t)
         size += len(t)
         if size >= CHUNK:
-            yield at, held
+            yield at, held, GRAM - 2
             at, held, size = [], [], 0
     if at:
-        yield at, held
+        yield at, held, GRAM - 2
+
+
+def _symbols(text: str) -> str:
+    """Letters, and one blank after each word."""
+    return "".join(c if c.isalpha() else " " for i, c in enumerate(text) if c.isalpha() or (i and text[i - 1].isalpha()))
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
@@ -114,8 +127,8 @@ def gram_counts(train: DataFrame) -> DataFrame:
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
             for lang in set(langs):
-                for _, part in _pieces([t for t, x in zip(texts, langs) if x == lang]):
-                    g, c = np.unique(grams(part)[0], return_counts=True)
+                for _, part, gaps in _pieces([t for t, x in zip(texts, langs) if x == lang]):
+                    g, c = np.unique(grams(part, gaps)[0], return_counts=True)
                     held.setdefault(lang, []).append((g, c))
                     waiting += len(g)
             if waiting > 3_000_000:
@@ -196,8 +209,9 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
         counts = np.zeros((len(texts), len(filters.langs) if filters else 0))
         total = np.zeros(len(texts))
-        for at, part in _pieces(texts):
-            h, owner = grams(part)
+        lettered = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
+        for at, part, gaps in _pieces(texts):
+            h, owner = grams(part, gaps)
             if filters is not None:
                 c, n = filters.counts(h, owner, len(part))
                 np.add.at(counts, at, c)
@@ -212,7 +226,7 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
         power = np.minimum(np.maximum(total, 1), 60)[:, None] / 4
         w = np.exp(power * (share - share.max(1, keepdims=True)))
         score = w[np.arange(len(texts)), best] / w.sum(1)
-        return [filters.langs[b] if t > 0 else "und" for b, t in zip(best, total)], [float(s) if t > 0 else 0.0 for s, t in zip(score, total)]
+        return [filters.langs[b] if t else "und" for b, t in zip(best, lettered)], [float(s) if t else 0.0 for s, t in zip(score, lettered)]
 
     def run(batches):
         for b in batches:
@@ -229,8 +243,8 @@ def language_id(docs: DataFrame) -> DataFrame:
 
     ``und`` (score 0) for null texts, texts without a letter, and all texts if
     nothing can be learned.  Rows with a null id are predicted, not learned
-    from.  Repeated rows get equal predictions; ties go to the first language
-    by name; an empty table gives no rows; other columns are not read.
+    from.  Repeated rows get equal predictions; ties, and
+    letters too few for an n-gram, go to the first language by name; an empty table gives no rows; other columns are not read.
     """
     return identify(docs, train_filters(docs))
 
