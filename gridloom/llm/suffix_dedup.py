@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, release, row_key, shuffle_width, written
+from .common import mix64, read_table, release, row_key, shuffle_width, trim, written
 from .keyfilter import expand, key_filter, key_test
 
 LENGTH = 50
@@ -48,7 +48,7 @@ HOT_PLACES = 2000
 #: Bytes of text taken up at once (a longer text is taken whole).
 CHUNK = 1 << 20
 #: Bytes of text, anchors and windows that one sorted run takes up.
-RUN_BYTES, RUN_ANCHORS, RUN_WINDOWS = 6 << 20, 100_000, 8_000
+RUN_BYTES, RUN_ANCHORS, RUN_WINDOWS = 4 << 20, 80_000, 6_000
 POSITION_BITS = 28
 HASH_BYTES = 5
 
@@ -98,6 +98,7 @@ def _chunks(texts: list[bytes]):
 def _slices(batches):
     """Batches cut to about RUN_BYTES of text."""
     for b in batches:
+        trim()
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         lo = 0
         while lo < b.num_rows:
@@ -327,6 +328,7 @@ def unpack_run(blob: bytes, width: int):
 
 def merged(blobs, width: int) -> tuple[np.ndarray, np.ndarray, Rows]:
     """(keys, shared prefix, rows) of all runs in one order."""
+    trim()
     runs = [unpack_run(b, width) for b in blobs]
     keys = np.concatenate([r[0] for r in runs])
     flat = keys.tobytes()
@@ -527,6 +529,7 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("tags", pa.binary()), ("per", pa.binary()), ("hashes", pa.binary())]))
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+        trim()
         low = np.frombuffer(b"".join(pdf["hashes"]), np.uint8).reshape(-1, HASH_BYTES)
         wide = np.zeros((len(low), 8), np.uint8)
         wide[:, :HASH_BYTES] = low
