@@ -24,18 +24,19 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, drop_written, read_table, shuffle_width, written
+from .common import combine, drop_written, mix64, read_table, release, row_key, shuffle_width, trim, written
 from .keyfilter import key_filter
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
 ABOVE, UNDER = 4, 5
 #: A token counts in a task's batch from so many of its nodes on.
-LOCAL_LEAST = 4
+LOCAL_LEAST = 2
 #: Counted so often in all, a token is frequent.
 FREQUENT = 32
 #: Most frequent tokens sent to the executors (8 bytes each); with more, the threshold rises.
@@ -46,7 +47,12 @@ COMBINE_UPTO = 60
 SHORT_LIST = 48
 FIRST_PIVOTS = 16
 
-EMPTY_NODE = np.uint64(0)
+#: Most nodes in a list sent to the executors (8 bytes each).
+BROADCAST_NODES = 500_000
+#: Tokens below it are in a node's sketch.
+HALF = np.uint64(1 << 63)
+#: Bytes of text whose tokens are held at once.
+RUN_BYTES = 3 << 20
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -101,11 +107,24 @@ def combine_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(0x5851F42D4C957F2D)
 
 
+def _slices(batches):
+    """Batches cut to about RUN_BYTES of text."""
+    for b in batches:
+        trim()
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            before = sizes[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(sizes, before + RUN_BYTES, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def _nodes(able: DataFrame) -> DataFrame:
     """(doc_id, uid, node, n, tokens seen often in a batch): one row a document, and one more a batch."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             node, size, sets, seen = [], [], [], set()
             for text in b.column("text").to_pylist():
                 t = tokens(text)
@@ -153,7 +172,7 @@ def _lists(able: DataFrame, frequent: np.ndarray, parts: int) -> tuple[DataFrame
 
     def run(batches):
         often, seen = shared.value, set()
-        for b in batches:
+        for b in _slices(batches):
             node, size, rare, many, owner_r, owner_m = [], [], [], [], [], []
             for text in b.column("text").to_pylist():
                 t = tokens(text)
@@ -174,7 +193,8 @@ def _lists(able: DataFrame, frequent: np.ndarray, parts: int) -> tuple[DataFrame
                 continue
             node, size = np.array(node, np.int64), np.array(size, np.int64)
             r, o = np.concatenate(rare), np.concatenate(owner_r)
-            p = ((r >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+            # prefixes hold small hashes, so they are mixed again
+            p = ((mix64(r ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
             order = np.lexsort((o, p))
             r, o, p = r[order], o[order], p[order]
             cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else []
@@ -217,27 +237,81 @@ def _lists(able: DataFrame, frequent: np.ndarray, parts: int) -> tuple[DataFrame
     rare = written(raw.filter("part >= 0").groupBy("part").applyInPandas(gather, "key long, node long, n long"), "jaccard-rare")
     many = written(raw.filter("part < 0").groupBy("key", "node").agg(F.max("n").alias("n")), "jaccard-many")
     drop_written(raw)
+    release(spark)
     return rare, many
 
 
+def _sketches(able: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, n, sketch, same, rest) of the nodes whose representative is in ``reps`` (uid).
+
+    The sketch holds the low halves of the tokens in the lower half of the hash
+    range; ``same`` of these fell together and ``rest`` tokens are beyond it.
+    The key filter lets a few other documents pass; their nodes come along, some
+    a second time, which adds no pair and at most repeats a link.
+    """
+
+    def run(batches):
+        for b in _slices(batches):
+            rows = [tokens(t) for t in b.column("text").to_pylist()]
+            low = [t[: np.searchsorted(t, HALF)] for t in rows]
+            short = [np.unique(t.astype(np.uint32)).view(np.int32) for t in low]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([node_of(t) if len(t) else None for t in rows], pa.int64()),
+                    pa.array([len(t) for t in rows], pa.int64()),
+                    pa.array(short, pa.list_(pa.int32())),
+                    pa.array([len(x) - len(y) for x, y in zip(low, short)], pa.int64()),
+                    pa.array([len(x) - len(y) for x, y in zip(rows, low)], pa.int64()),
+                ],
+                names=["node", "n", "sketch", "same", "rest"],
+            )
+
+    return key_filter(reps)(able.select("uid", "text")).mapInArrow(run, "node long, n long, sketch array<int>, same long, rest long")
+
+
 def _token_sets(able: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, set) of the nodes whose representative is in ``reps`` (uid)."""
+    """(node, set) likewise."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = [tokens(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array([node_of(t) if len(t) else None for t in rows], pa.int64()), pa.array([t.view(np.int64) for t in rows], pa.list_(pa.int64()))], names=["uid", "node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(t) if len(t) else None for t in rows], pa.int64()), pa.array([t.view(np.int64) for t in rows], pa.list_(pa.int64()))], names=["node", "set"])
+
+    return key_filter(reps)(able.select("uid", "text")).mapInArrow(run, "node long, set array<long>")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
-    found = key_filter(reps)(able.select("uid", "text")).mapInArrow(run, "uid long, node long, set array<long>")
-    return found.join(reps, "uid", "left_semi").select("node", "set")
 
+def _of(table: DataFrame, ends: DataFrame) -> DataFrame:
+    """Rows of ``table`` whose node is an end; a list of ends of checked size spares the others a shuffle."""
+    return table.join(F.broadcast(ends), "node", "left_semi") if ends.count() <= BROADCAST_NODES else table
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, able: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) with Jaccard similarity at or above the threshold, as a written table.
+
+    An overlap is at most that of the sketches plus the smaller rest; where that
+    is too little, whole sets are never made.
+    """
+
+    def side(table: DataFrame, name: str) -> DataFrame:
+        return table.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in table.columns if c != "node"])
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with Jaccard similarity at or above the threshold."""
-    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    both = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-    meet = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(UNDER * meet >= ABOVE * (F.size("sa") + F.size("sb") - meet)).select("a", "b")
+    some = _of(sketches, written(_ends(pairs), "jaccard-asked"))
+    rough = pairs.join(side(some, "b"), "b").join(side(some, "a"), "a")
+    most = F.size(F.array_intersect("sketch_a", "sketch_b")) + F.col("same_a") + F.col("same_b") + F.least("rest_a", "rest_b")
+    close = written(rough.filter((ABOVE + UNDER) * most >= ABOVE * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "jaccard-close")
+    release(pairs.sparkSession)
+    near = written(reps.join(_ends(close), "node", "left_semi").select("uid"), "jaccard-near")
+    sets = written(_token_sets(able, near), "jaccard-sets")
+    both = close.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
+    meet = F.size(F.array_intersect("set_a", "set_b"))
+    good = written(both.filter(UNDER * meet >= ABOVE * (F.size("set_a") + F.size("set_b") - meet)).select("a", "b").distinct(), "jaccard-links")
+    drop_written(sets)
+    release(pairs.sparkSession)
+    return good
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -276,7 +350,7 @@ def linked(able: DataFrame, table: DataFrame) -> DataFrame | None:
     lists = rare.union(many)
     reps = table.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"))
     reps = written(reps, "jaccard-reps")
-    edges = comp = tested = sets = None
+    edges = comp = tested = sketches = None
     pivots = 1
     while True:
         held = written(_with_comp(lists, comp), "jaccard-lists")
@@ -305,18 +379,21 @@ def linked(able: DataFrame, table: DataFrame) -> DataFrame | None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         if not pairs.isEmpty():
-            ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-            fresh = ends if sets is None else ends.join(sets.select("node"), "node", "left_anti")
+            ends = _ends(pairs)
+            fresh = ends if sketches is None else ends.join(sketches.select("node"), "node", "left_anti")
             fresh = written(reps.join(fresh, "node", "left_semi").select("uid"), "jaccard-ends")
             if not fresh.isEmpty():
-                more = written(_token_sets(able, fresh), "jaccard-sets")
-                sets = more if sets is None else sets.union(more)
-            good = written(_verified(pairs, sets), "jaccard-links")
+                more = written(_sketches(able, fresh), "jaccard-sketches")
+                sketches = more if sketches is None else sketches.union(more)
+            release(able.sparkSession)
+            good = _verified(pairs, sketches, able, reps)
             tested = pairs if tested is None else tested.union(pairs)
             if not good.isEmpty():
                 edges = good if edges is None else edges.union(good)
                 comp = written(components(edges), "jaccard-comp")
         lists = written(lists_next, "jaccard-rest")
+        drop_written(held)
+        release(able.sparkSession)
         pivots = FIRST_PIVOTS if pivots == 1 else pivots * 8
 
 
@@ -328,22 +405,23 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     component and gives its group no name, but links like others.  Repeated
     rows share a component; an empty table gives no rows.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("uid"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("uid"), "text")
     table = written(_nodes(keyed), "jaccard-nodes")
     edges = linked(keyed.filter(F.col("text").isNotNull()), table)
-    rows = table.filter(F.col("n") >= 0).select("doc_id", F.col("n").alias("n_shingles"), "node")
+    rows = table.filter(F.col("n") >= 0).select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("uid").alias("row_key"))
     least = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
     if edges is not None:
         comp = written(components(edges), "jaccard-final")
         of = least.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         of = written(of, "jaccard-of")
-        name = of.groupBy("comp").agg(F.min("first").alias("component_id"))
+        # written, so that a component of very many nodes can be split between tasks in the join
+        name = written(of.groupBy("comp").agg(F.min("first").alias("component_id")), "jaccard-components")
         least = of.join(name, "comp").select("node", "component_id")
     else:
         least = least.withColumnRenamed("first", "component_id")
     least = written(least, "jaccard-names")
-    return rows.join(least, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return rows.join(least, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row_key")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicate_groups(read_table(spark, sf_dir, "documents"))
+    return near_duplicate_groups(read_table(spark, sf_dir, "documents")).drop("row_key")
