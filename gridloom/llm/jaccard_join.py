@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import combine, drop_written, mix64, read_table, release, row_key, shuffle_width, trim, written
-from .keyfilter import key_filter
+from .keyfilter import key_test
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
@@ -241,18 +241,18 @@ def _lists(able: DataFrame, frequent: np.ndarray, parts: int) -> tuple[DataFrame
     return rare, many
 
 
-def _sketches(able: DataFrame, reps: DataFrame) -> DataFrame:
-    """(node, n, sketch, same, rest) of the nodes whose representative is in ``reps`` (uid).
+def _sketches(able: DataFrame, chosen) -> DataFrame:
+    """(node, n, sketch, same, rest) of the nodes whose representative is ``chosen`` by key.
 
     The sketch holds the low halves of the tokens in the lower half of the hash
     range; ``same`` of these fell together and ``rest`` tokens are beyond it.
-    The key filter lets a few other documents pass; their nodes come along, some
-    a second time, which adds no pair and at most repeats a link.
+    The test of keys is exact: the copies of a representative stay out, or a
+    node with very many of them would multiply in the joins.
     """
 
     def run(batches):
         for b in _slices(batches):
-            rows = [tokens(t) for t in b.column("text").to_pylist()]
+            rows = [tokens(t) for t in b.filter(pa.array(chosen(b.column("uid").to_numpy()))).column("text").to_pylist()]
             low = [t[: np.searchsorted(t, HALF)] for t in rows]
             short = [np.unique(t.astype(np.uint32)).view(np.int32) for t in low]
             yield pa.RecordBatch.from_arrays(
@@ -266,18 +266,24 @@ def _sketches(able: DataFrame, reps: DataFrame) -> DataFrame:
                 names=["node", "n", "sketch", "same", "rest"],
             )
 
-    return key_filter(reps)(able.select("uid", "text")).mapInArrow(run, "node long, n long, sketch array<int>, same long, rest long")
+    return able.select("uid", "text").mapInArrow(run, "node long, n long, sketch array<int>, same long, rest long")
 
 
-def _token_sets(able: DataFrame, reps: DataFrame) -> DataFrame:
+def _token_sets(able: DataFrame, chosen) -> DataFrame:
     """(node, set) likewise."""
 
     def run(batches):
         for b in _slices(batches):
-            rows = [tokens(t) for t in b.column("text").to_pylist()]
+            rows = [tokens(t) for t in b.filter(pa.array(chosen(b.column("uid").to_numpy()))).column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(t) if len(t) else None for t in rows], pa.int64()), pa.array([t.view(np.int64) for t in rows], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return key_filter(reps)(able.select("uid", "text")).mapInArrow(run, "node long, set array<long>")
+    return able.select("uid", "text").mapInArrow(run, "node long, set array<long>")
+
+
+def _chosen(reps: DataFrame, table: DataFrame):
+    """An exact test for the keys in ``reps`` (uid), a part of those in ``table``."""
+    keys = table.filter(F.col("uid").isNotNull()).select("uid")
+    return key_test(reps, keys.join(reps, "uid", "left_anti"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -289,7 +295,7 @@ def _of(table: DataFrame, ends: DataFrame) -> DataFrame:
     return table.join(F.broadcast(ends), "node", "left_semi") if ends.count() <= BROADCAST_NODES else table
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, able: DataFrame, reps: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, able: DataFrame, reps: DataFrame, table: DataFrame) -> DataFrame:
     """Pairs (a, b) with Jaccard similarity at or above the threshold, as a written table.
 
     An overlap is at most that of the sketches plus the smaller rest; where that
@@ -305,7 +311,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, able: DataFrame, reps: Data
     close = written(rough.filter((ABOVE + UNDER) * most >= ABOVE * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "jaccard-close")
     release(pairs.sparkSession)
     near = written(reps.join(_ends(close), "node", "left_semi").select("uid"), "jaccard-near")
-    sets = written(_token_sets(able, near), "jaccard-sets")
+    sets = written(_token_sets(able, _chosen(near, table)), "jaccard-sets")
     both = close.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
     meet = F.size(F.array_intersect("set_a", "set_b"))
     good = written(both.filter(UNDER * meet >= ABOVE * (F.size("set_a") + F.size("set_b") - meet)).select("a", "b").distinct(), "jaccard-links")
@@ -383,10 +389,10 @@ def linked(able: DataFrame, table: DataFrame) -> DataFrame | None:
             fresh = ends if sketches is None else ends.join(sketches.select("node"), "node", "left_anti")
             fresh = written(reps.join(fresh, "node", "left_semi").select("uid"), "jaccard-ends")
             if not fresh.isEmpty():
-                more = written(_sketches(able, fresh), "jaccard-sketches")
+                more = written(_sketches(able, _chosen(fresh, table)), "jaccard-sketches")
                 sketches = more if sketches is None else sketches.union(more)
             release(able.sparkSession)
-            good = _verified(pairs, sketches, able, reps)
+            good = _verified(pairs, sketches, able, reps, table)
             tested = pairs if tested is None else tested.union(pairs)
             if not good.isEmpty():
                 edges = good if edges is None else edges.union(good)
