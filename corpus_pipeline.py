@@ -15,14 +15,17 @@ from gridloom.llm import jaccard_join, packing, quality_classifier, quality_rule
 from gridloom.llm.common import read_table, row_key, written
 from gridloom.llm.keyfilter import key_split
 
-KEY = "gridloom_row_key"
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(uid, row): rows whole in one column, so that no name of theirs meets one of ours."""
+    return docs.select(row_key().alias("uid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` less the rows whose key is in ``rejected`` (uid)."""
     rejected = written(rejected.select("uid").distinct(), "pipeline-rejected")
-    hit, rest = key_split(docs.withColumn("uid", row_key()), rejected)
-    return rest.union(hit.join(rejected, "uid", "left_anti").select(rest.columns)).select(docs.columns)
+    hit, rest = key_split(_keyed(docs), rejected)
+    return rest.union(hit.join(rejected, "uid", "left_anti")).select("row.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +49,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     again = written(docs.filter("doc_id IS NOT NULL").select(row_key().alias("uid")).groupBy("uid").count().filter("count > 1").select("uid"), "pipeline-repeated")
     if again.isEmpty():
         return out
-    hit, rest = key_split(out.withColumn("uid", row_key()), again)
-    return rest.union(hit.dropDuplicates(["uid"])).select(docs.columns)
+    hit, rest = key_split(_keyed(out), again)
+    return rest.union(hit.dropDuplicates(["uid"])).select("row.*")
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,12 +62,13 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     base, cut = suffix_dedup.repeated_passages(docs)
     cut = cut.select("row_key", "kept").union(base.filter("is_copy").select("row_key", F.lit("").cast("binary")))
     cut = written(cut.groupBy(F.col("row_key").alias("uid")).agg(F.first("kept").alias("kept")), "pipeline-cut")
-    hit, rest = key_split(docs.withColumn("uid", row_key()), cut.select("uid"))
-    whole = F.regexp_replace(F.expr("cast(kept as string)"), "\ufffd", "")
-    changed = hit.join(cut, "uid", "left").withColumn("text", F.coalesce(whole, "text")).drop("kept")
-    if isinstance(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else None, T.IntegralType):
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rest.union(changed.select(rest.columns)).select(docs.columns)
+    hit, rest = key_split(_keyed(docs), cut.select("uid"))
+    whole = F.coalesce(F.regexp_replace(F.expr("cast(kept as string)"), "\ufffd", ""), F.col("row.text"))
+    row = F.col("row").withField("text", whole)
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
+        row = row.withField("n_chars", F.length(whole).cast(docs.schema["n_chars"].dataType))
+    changed = hit.join(cut, "uid", "left").select("uid", row.alias("row"))
+    return rest.union(changed).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
