@@ -18,16 +18,25 @@ def score_rows(cells: DataFrame, extents: DataFrame, keys: list[str]) -> DataFra
     """
     look = C.HEADER_LOOKAHEAD
     base = extents.filter("n > 0 and width > 0")
-    below = (
-        cells.select(*keys, "col", "cat", "len", F.col("row").alias("_at"), F.explode(F.sequence(F.lit(1), F.lit(look))).alias("_up"))
+    up = F.col("_up") > 0
+    # each cell stands for itself and below the rows above it, so that no join of cells is needed
+    both = (
+        cells.select(*keys, "col", "cat", "len", F.col("row").alias("_at"), F.explode(F.sequence(F.lit(0), F.lit(look))).alias("_up"))
         .withColumn("row", F.col("_at") - F.col("_up"))
         .filter("row >= 1")
-        .groupBy(*keys, "row", "col", "cat")
-        .agg(F.count("*").alias("c"), F.min("_at").alias("first"), F.sum("len").alias("total"))
+        .groupBy(*keys, "row", "col", F.col("cat").alias("_cat"))
+        .agg(F.count(F.when(up, 1)).alias("c"), F.min(F.when(up, F.col("_at"))).alias("first"), F.sum(F.when(up, F.col("len"))).alias("total"), F.max(F.when(~up, F.struct("cat", "len"))).alias("own"))
         .groupBy(*keys, "row", "col")
-        .agg((F.max("c") / F.sum("c")).alias("cons"), F.max_by("cat", F.struct("c", (-F.col("first")).alias("f"))).alias("main"), (F.sum("total") / F.sum("c")).alias("mean"))
+        .agg(
+            (F.max("c") / F.nullif(F.sum("c"), F.lit(0))).alias("cons"),
+            F.max_by("_cat", F.when(F.col("c") > 0, F.struct("c", (-F.col("first")).alias("f")))).alias("main"),
+            (F.sum("total") / F.nullif(F.sum("c"), F.lit(0))).alias("mean"),
+            F.max("own").alias("own"),
+        )
+        .select(*keys, "row", "col", "cons", "main", "mean", F.col("own.cat").alias("cat"), F.col("own.len").alias("len"))
+        .join(base, keys)
+        .filter(F.col("col") <= F.col("width"))
     )
-    both = cells.select(*keys, "row", "col", "cat", "len").join(below, [*keys, "row", "col"], "full").join(base, keys).filter(F.col("col") <= F.col("width"))
     differs = F.when(F.col("cat").eqNullSafe(F.col("main")), 0.0).otherwise(1.0)
     long_ = F.coalesce(F.col("len"), F.lit(0)).cast("double")
     apart = F.when(F.col("main").isNull(), F.when(F.col("cat").isNull(), 0.0).otherwise(1.0)).otherwise((differs + F.abs(long_ - F.col("mean")) / F.greatest(long_, F.col("mean"), F.lit(1.0))) / 2)

@@ -172,24 +172,49 @@ SCORES = (
 )
 
 
-def _fields(spark, d) -> tuple[DataFrame, DataFrame]:
-    lines = _t(spark, d, "documents").select(F.col("doc_id").alias("g"), F.posexplode(F.split("text", "\n")).alias("p", "line")).filter(F.col("p") < C.HEADER_SCAN_ROWS)
+def _fields(spark, d, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells and extents of the scanned lines; with ``limit``, of each line's first fields only."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("g"), "text").repartition("g")  # fields of a document stay together
+    lines = docs.select("g", F.posexplode(F.split("text", "\n")).alias("p", "line")).filter(F.col("p") < C.HEADER_SCAN_ROWS)
     v = F.col("v")
-    cells = lines.select("g", (F.col("p") + 1).alias("row"), F.posexplode(F.split("line", " ")).alias("q", "v")).filter((F.col("q") < 6) & (v != ""))
+    cells = lines.select("g", (F.col("p") + 1).alias("row"), F.posexplode(F.split("line", " ")).alias("q", "v")).filter(v != "")
+    if limit is not None:
+        cells = cells.filter(F.col("q") < limit)
     cells = cells.select("g", "row", (F.col("q") + 1).alias("col"), F.when(v.rlike("^[0-9]+$"), "number").when(F.length(v) % 5 == 0, "date").otherwise("string").alias("cat"), F.length(v).alias("len"))
     return cells, cells.groupBy("g").agg(F.max("row").alias("n"), F.max("col").alias("width"))
 
 
+def _scores(spark, d, limit: int | None = None) -> DataFrame:
+    return header.score_rows(*_fields(spark, d, limit), ["g"]).withColumn("score", F.round("score", 6))
+
+
+def _picks(scores: DataFrame) -> DataFrame:
+    none = scores.limit(0).select("g", "row", F.lit(True).alias("dense"), F.lit(0).alias("axis_below"), F.lit(False).alias("axis_next"), F.lit(False).alias("label"), F.lit(False).alias("blank"), F.lit(0).alias("width"))
+    return header.pick_header(scores, none, ["g"]).select("g", F.col("header_row").cast("long").alias("header_row"))
+
+
+#: Fields of a line that the SQL texts of header_score and header_pick read; the queries *_all_fields read every one.
+SQL_FIELDS = 6
+
+
 @query(f"with {FIELDS}, {SCORES} select g, r as row, round(score, 6) score from scored")
 def header_score(spark, d):
-    return header.score_rows(*_fields(spark, d), ["g"]).withColumn("score", F.round("score", 6)).withColumn("row", F.col("row").cast("long"))
+    return _scores(spark, d, SQL_FIELDS).withColumn("row", F.col("row").cast("long"))
 
 
 @query(f"with {FIELDS}, {SCORES}, q as (select g, r, round(score,6) s from scored) select g, arg_max(r, (s, -r)) as header_row from q group by g")
 def header_pick(spark, d):
-    scores = header.score_rows(*_fields(spark, d), ["g"]).withColumn("score", F.round("score", 6))
-    none = scores.limit(0).select("g", "row", F.lit(True).alias("dense"), F.lit(0).alias("axis_below"), F.lit(False).alias("axis_next"), F.lit(False).alias("label"), F.lit(False).alias("blank"), F.lit(0).alias("width"))
-    return header.pick_header(scores, none, ["g"]).select("g", F.col("header_row").cast("long").alias("header_row"))
+    return _picks(_scores(spark, d, SQL_FIELDS))
+
+
+@query()
+def header_score_all_fields(spark, d):
+    return _scores(spark, d).withColumn("row", F.col("row").cast("long"))
+
+
+@query()
+def header_pick_all_fields(spark, d):
+    return _picks(_scores(spark, d))
 
 
 @query(
