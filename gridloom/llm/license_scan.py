@@ -1,6 +1,10 @@
 """Licence scan: a trained paragraph classifier with an unknown class.
 
-A paragraph is a line with a word.  A multinomial logistic regression over word
+A notice may be one line or wrapped over several.  Lines with a word that follow
+each other form a block; its lines are judged each by itself, and so is every
+run of lines from one that shares a three-gram with a template to another, as
+long as the longest template and as much again.  Of candidates that rest on the
+same words the one with most three-grams of a template counts.  A multinomial logistic regression over word
 one- and two-grams is trained on variants of notice templates against lines of
 the corpus and shuffled template words, with a class for anything else.  Its
 temperature is set on variants left out of training, so the probability of a
@@ -10,6 +14,7 @@ paragraph's word three-grams with the family's templates.
 
 from __future__ import annotations
 
+import bisect
 import random
 import re
 
@@ -76,6 +81,8 @@ SAMPLE_DOCUMENTS, SAMPLE_LINES = 200, 1500
 VARIANTS = 24
 LEAST_PROBABILITY = 0.5
 CONFIRM = 0.6
+#: Words between first and last line of a candidate at most, in lengths of the longest template.
+REACH = 2
 EPOCHS, RATE, DECAY = 150, 4.0, 1e-4
 
 _WORD = re.compile(r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]")
@@ -113,6 +120,8 @@ class Model:
         rng = random.Random(seed)
         known = {f: [words_of(t) for t in ts] for f, ts in TEMPLATES.items()}
         self.triples = {f: [_triples(w) for w in ws] for f, ws in known.items()}
+        self.any_triple = {g for ts in self.triples.values() for t in ts for g in t}
+        self.reach = REACH * max(len(w) for ws in known.values() for w in ws)
         rows, labels, held = [], [], []
         for k, f in enumerate(TEMPLATES):
             for w in known[f]:
@@ -122,7 +131,8 @@ class Model:
                     held.append(i % 4 == 3)
         pool = sorted({x for ws in known.values() for w in ws for x in w})
         shuffled = [[rng.choice(pool) for _ in range(rng.randint(1, 6))] + [f"w{rng.randrange(10_000)}" for _ in range(rng.randint(2, 12))] for _ in range(600)]
-        plain = [w for w in map(words_of, other_lines) if max((len(_triples(w) & t) / len(t) for ts in self.triples.values() for t in ts), default=0) < 0.3]
+        # neither much of a template nor, as the lines of a wrapped notice, mostly from one
+        plain = [w for w in map(words_of, other_lines) if max((len(_triples(w) & t) / len(t) for ts in self.triples.values() for t in ts), default=0) < 0.3 and 2 * len(_triples(w) & self.any_triple) <= len(_triples(w))]
         for i, w in enumerate([*shuffled, *plain, []]):
             rows.append(grams(w))
             labels.append(len(TEMPLATES))
@@ -160,19 +170,65 @@ class Model:
         e = np.exp(z - z.max(-1, keepdims=True))
         return e / e.sum(-1, keepdims=True)
 
-    def classify(self, line: str) -> tuple[str, float, float] | None:
-        """(family, probability, template similarity), or None where the class is unknown."""
-        words = words_of(line)
-        known = self.vocabulary
-        # two neighbouring words that some template has: without them nothing speaks for a family
-        if not any(f"{a} {b}" in known for a, b in zip(words, words[1:])):
-            return None
+    def classify(self, words: list[str]) -> tuple[str, float, float, set] | None:
+        """(family, probability, template similarity, three-grams of the template most of which is there), or None where the class is unknown."""
         p = self._softmax(self.vector(grams(words)) @ self.weights / self.temperature)
         k = int(p.argmax())
         if FAMILIES[k] == UNKNOWN or p[k] < LEAST_PROBABILITY:
             return None
         own = _triples(words)
-        return FAMILIES[k], float(p[k]), max(len(own & t) / len(t) for t in self.triples[FAMILIES[k]])
+        shared = [(len(own & t) / len(t), len(own & t), t) for t in self.triples[FAMILIES[k]]]
+        return FAMILIES[k], float(p[k]), max(s for s, _, _ in shared), max(shared, key=lambda x: (x[0] >= CONFIRM, x[1]))[2]
+
+    def notices(self, text: str) -> list[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, probability, template similarity) of each notice."""
+        out, block, before = [], [], ""
+        for number, line in enumerate([*text.split("\n"), ""]):
+            words = words_of(line)
+            if words:
+                # a template's word that was wrapped at its hyphen
+                if block and before.endswith("-") and block[-1][1] and f"{block[-1][1][-1]}-{words[0]}" in self.vocabulary:
+                    block[-1][1][-1] += f"-{words.pop(0)}"
+                block.append((number, words))
+            elif block:
+                out += self._in_block(block)
+                block = []
+            before = line.rstrip()
+        return out
+
+    def _in_block(self, block: list[tuple[int, list[str]]]) -> list[tuple[int, int, str, float, float]]:
+        words = [w for _, ws in block for w in ws]
+        known = self.vocabulary
+        # two neighbouring words that some template has: without them nothing speaks for a family
+        pairs = [k for k, (a, b) in enumerate(zip(words, words[1:])) if f"{a} {b}" in known]
+        if not pairs:
+            return []
+        line_of = [i for i, (_, ws) in enumerate(block) for _ in ws]
+        start = [0]
+        for _, ws in block:
+            start.append(start[-1] + len(ws))
+        spots = [k for k, after in zip(pairs, pairs[1:]) if after == k + 1 and tuple(words[k : k + 3]) in self.any_triple]
+        spans = {(line_of[k], line_of[k]) for k in pairs if line_of[k] == line_of[k + 1]}
+        lasts = sorted({line_of[k + 2] for k in spots})
+        for i in {line_of[k] for k in spots}:
+            for j in lasts[bisect.bisect_right(lasts, i) :]:
+                if start[j] - start[i + 1] > self.reach:
+                    break
+                spans.add((i, j))
+        found = []
+        for i, j in spans:
+            a, b = start[i], start[j + 1]
+            hit = self.classify(words[a:b])
+            if hit:
+                family, p, s, template = hit
+                at = [k for k in spots[bisect.bisect_left(spots, a) : bisect.bisect_left(spots, b - 2)] if tuple(words[k : k + 3]) in template]
+                found.append((s < CONFIRM, -len(_triples(words[a:b]) & template), j - i, -p, i, j, family, s, at[0] if at else a, at[-1] + 3 if at else b))
+        taken, out = bytearray(len(words)), []
+        for *_, p, i, j, family, s, a, b in sorted(found):
+            if not any(taken[a:b]):
+                taken[a:b] = b"\1" * (b - a)
+                out.append((block[i][0], block[j][0], family, -p, s))
+        return sorted(out)
 
 
 def train(docs: DataFrame) -> Model:
@@ -183,9 +239,9 @@ def train(docs: DataFrame) -> Model:
 
 
 def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, paragraph (line number from 0), family, probability, similarity, confirmed.
+    """doc_id, paragraph (number of its first line, from 0), last_line, family, probability, similarity, confirmed.
 
-    One row per paragraph that the classifier gives to a family.  Null and
+    One row per notice, of one line or more, that the classifier gives to a family.  Null and
     empty texts have none; rows with a null id and repeated rows are scanned
     like others; an empty table gives no rows; other columns are not read.
     """
@@ -193,19 +249,15 @@ def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            at, number, family, p, s = [], [], [], [], []
+            at, first, last, family, p, s = [], [], [], [], [], []
             for row, text in enumerate(b.column("text").to_pylist()):
-                for i, line in enumerate((text or "").split("\n")):
-                    found = model.classify(line)
-                    if found:
-                        at.append(row)
-                        number.append(i)
-                        family.append(found[0])
-                        p.append(found[1])
-                        s.append(found[2])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(family, pa.string()), pa.array(p, pa.float64()), pa.array(s, pa.float64()), pa.array([x >= CONFIRM for x in s], pa.bool_())], names=["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, paragraph int, family string, probability double, similarity double, confirmed boolean")
+                for found in model.notices(text or ""):
+                    at.append(row)
+                    for column, value in zip((first, last, family, p, s), found):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(family, pa.string()), pa.array(p, pa.float64()), pa.array(s, pa.float64()), pa.array([x >= CONFIRM for x in s], pa.bool_())], names=["doc_id", "paragraph", "last_line", "family", "probability", "similarity", "confirmed"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, paragraph int, last_line int, family string, probability double, similarity double, confirmed boolean")
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:

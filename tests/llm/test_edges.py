@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names, for every operator and stage."""
 
 import hashlib
+import textwrap
 import zlib
 
 import numpy as np
@@ -54,6 +55,26 @@ def test_licenses(docs, none):
     assert rows(license_scan.license_scan(none)) == []
 
 
+def test_wrapped_notices_are_confirmed_once(spark):
+    other = [" ".join(WORDS[(i * 5 + j) % 24] for j in range(9)) for i in range(40)]
+    model = license_scan.Model(other)
+    want, texts = [], []
+    for family, templates in license_scan.TEMPLATES.items():
+        for template in templates:
+            for width in (24, 72, 75, 79):
+                for mark in ("", " * ", "# "):
+                    lines = textwrap.wrap(template, width, initial_indent=mark, subsequent_indent=mark)
+                    k = len(texts)
+                    want.append((k, 2, 1 + len(lines), family, True))
+                    texts.append("\n".join([*other[k % 30 : k % 30 + 2], *lines, other[k % 37]]))
+    one, two = license_scan.TEMPLATES["GPL-3.0"][1], license_scan.TEMPLATES["MIT"][2]
+    n = len(textwrap.wrap(one, 78))
+    want += [(len(texts), 0, n - 1, "GPL-3.0", True), (len(texts), n + 1, n + len(textwrap.wrap(two, 78)), "MIT", True)]
+    texts.append(textwrap.fill(one, 78) + "\n\n" + textwrap.fill(two, 78))
+    got = rows(license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model))
+    assert sorted((r["doc_id"], r["paragraph"], r["last_line"], r["family"], r["confirmed"]) for r in got) == want
+
+
 def test_quality_rules(docs, none):
     got = rows(quality_rules.quality_rules(docs))
     assert len(got) == len(TEXTS)
