@@ -36,8 +36,12 @@ def _is_letter() -> np.ndarray:
     return _letters
 
 
-def grams(texts: list[str | None], gaps: int = GRAM - 2) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all n-grams of letters and word ends with up to ``gaps`` gaps, and the index of each one's text."""
+def grams(texts: list[str | None], gaps: int = GRAM - 2, lead: int = 0, cut: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of letters and word ends with up to ``gaps`` gaps, and the index of each one's text.
+
+    Of a part of a text, those wholly in its ``lead`` first symbols don't count,
+    nor, where it is ``cut`` at its end, those that reach beyond.
+    """
     gap = "\0" * (GRAM - 1)
     lowered = [(t or "").lower() for t in texts]
     joined = gap + gap.join(lowered) + gap
@@ -65,38 +69,52 @@ def grams(texts: list[str | None], gaps: int = GRAM - 2) -> tuple[np.ndarray, np
         owners[has] = own[i : i + n][has]  # all letters of a window are of one text
         held += has
     some = (held > 0) & (held >= GRAM - gaps)
+    some[:lead] = False
+    if cut:
+        some[n - GRAM + 1 :] = False
     return mix64(acc[some]), owners[some]
 
 
-def _pieces(texts: list[str | None]):
-    """(indices, texts, gaps) of about ``CHUNK`` characters.
+def _parts(texts: list[str | None]):
+    """(indices, texts, lead, cut) of about ``CHUNK`` characters, the last two as :func:`grams` takes them.
 
     A longer text comes in parts cut after words.  A part begins with the last
-    symbols of the one before, one fewer than an n-gram has, so that n-grams
-    over the cut are there and none counts twice; n-grams of more than one gap
-    don't count then.
+    symbols of those before it, one fewer than an n-gram has, so that n-grams
+    over the cut are there and none counts twice.
     """
     at, held, size = [], [], 0
     for i, t in enumerate(texts):
         t = t or ""
         if len(t) > CHUNK:
+            t = t.lower()  # whole, as a letter's form may depend on its neighbours
             start, lead = 0, ""
             while start < len(t):
                 end = min(len(t), start + CHUNK)
                 while end < len(t) and not (t[end - 2].isalpha() and not t[end - 1].isalpha()) and end - start < 2 * CHUNK:
                     end += 1
-                yield [i], [lead + t[start:end]], 1
-                lead = _symbols((lead + t[start:end])[-400:])[1 - GRAM :]
+                part = lead + t[start:end]
+                yield [i], [part], len(lead.lstrip()), end < len(t)
+                lead, tail = _symbols(part[-400:]), 400
+                while len(lead) < GRAM and tail < len(part):
+                    tail *= 4
+                    lead = _symbols(part[-tail:])
+                lead = lead[1 - GRAM :]
                 start = end
             continue
         at.append(i)
         held.append(t)
         size += len(t)
         if size >= CHUNK:
-            yield at, held, GRAM - 2
+            yield at, held, 0, False
             at, held, size = [], [], 0
     if at:
-        yield at, held, GRAM - 2
+        yield at, held, 0, False
+
+
+def _pieces(texts: list[str | None]):
+    """(indices, texts, gaps): parts with the gaps up to which :func:`grams` needs no more than the part itself."""
+    for at, part, lead, cut in _parts(texts):
+        yield at, part, 1 if lead or cut else GRAM - 2
 
 
 def _symbols(text: str) -> str:
@@ -127,8 +145,8 @@ def gram_counts(train: DataFrame) -> DataFrame:
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
             for lang in set(langs):
-                for _, part, gaps in _pieces([t for t, x in zip(texts, langs) if x == lang]):
-                    g, c = np.unique(grams(part, gaps)[0], return_counts=True)
+                for _, part, lead, cut in _parts([t for t, x in zip(texts, langs) if x == lang]):
+                    g, c = np.unique(grams(part, lead=lead, cut=cut)[0], return_counts=True)
                     held.setdefault(lang, []).append((g, c))
                     waiting += len(g)
             if waiting > 3_000_000:
@@ -210,8 +228,8 @@ def identify(docs: DataFrame, filters: Filters | None) -> DataFrame:
         counts = np.zeros((len(texts), len(filters.langs) if filters else 0))
         total = np.zeros(len(texts))
         lettered = np.array([any(map(str.isalpha, t or "")) for t in texts], bool)
-        for at, part, gaps in _pieces(texts):
-            h, owner = grams(part, gaps)
+        for at, part, lead, cut in _parts(texts):
+            h, owner = grams(part, lead=lead, cut=cut)
             if filters is not None:
                 c, n = filters.counts(h, owner, len(part))
                 np.add.at(counts, at, c)

@@ -125,6 +125,21 @@ def test_long_texts_have_the_n_grams_of_the_whole():
     assert whole == parts
 
 
+def test_n_grams_do_not_depend_on_length(spark):
+    old, language_id.CHUNK = language_id.CHUNK, 50
+    try:
+        for text in ("我 是 人 " * 300, " ".join(WORDS) * 9, "我是人" * 200, "ab cd" + " 1" * 2500 + "e f g, " * 90, " a b" * 99, "7 " * 300 + "x", "ΑΣ ΣΑΣ İ ß " * 80, "word" * 40 + "..." * 300):
+            want = sorted(language_id.grams([text])[0].tolist())
+            got = [h for _, p, lead, cut in language_id._parts(["x y", text]) for h in language_id.grams(p, lead=lead, cut=cut)[0].tolist()]
+            assert sorted(got) == sorted(want + language_id.grams(["x y"])[0].tolist())
+    finally:
+        language_id.CHUNK = old
+    one = "我 是 人 "
+    data = [(i, "a b c d " * 20, "aa") for i in range(20)] + [(100 + i, one * 20, "zh") for i in range(20)] + [(1000, one * 70_000, None)]
+    got = rows(language_id.language_id(spark.createDataFrame(data, "doc_id long, text string, lang string")))
+    assert {r["lang_pred"] for r in got if r["doc_id"] >= 100} == {"zh"}
+
+
 def test_shards(docs, none):
     got = rows(sharding.shard_by_bytes(docs, 4))
     assert sorted(r["size"] for r in got) == sorted(len((t or "").encode()) + 16 for _, t in TEXTS)
