@@ -59,11 +59,11 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Cuts are by byte; what a cut leaves of a character is dropped.  A document
     of which nothing is left stays, with an empty text.
     """
-    base, cut = suffix_dedup.repeated_passages(docs)
-    cut = cut.select("row_key", "kept").union(base.filter("is_copy").select("row_key", F.lit("").cast("binary")))
-    cut = written(cut.groupBy(F.col("row_key").alias("uid")).agg(F.first("kept").alias("kept")), "pipeline-cut")
+    base, cut = suffix_dedup.repeated_passages(docs, texts=True)
+    cut = cut.select("row_key", "kept_text").union(base.filter("is_copy").select("row_key", F.lit("")))
+    cut = written(cut.groupBy(F.col("row_key").alias("uid")).agg(F.first("kept_text").alias("kept_text")), "pipeline-cut")
     hit, rest = key_split(_keyed(docs), cut.select("uid"))
-    whole = F.coalesce(F.regexp_replace(F.expr("cast(kept as string)"), "\ufffd", ""), F.col("row.text"))
+    whole = F.coalesce("kept_text", "row.text")
     row = F.col("row").withField("text", whole)
     if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, T.IntegralType):
         row = row.withField("n_chars", F.length(whole).cast(docs.schema["n_chars"].dataType))

@@ -478,15 +478,22 @@ def windows_of(contexts: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple
 # ---------------------------------------------------------------- the operator
 
 
-def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def decoded(parts: list[bytes]) -> str:
+    """Text of the bytes between cuts; what a cut leaves of a character at an edge is dropped."""
+    return "".join(p.decode("utf-8", "ignore") for p in parts)
+
+
+def repeated_passages(docs: DataFrame, texts: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sizes of all rows and which are copies of a smaller id's text, what is left of the others that lose something), by row key.
 
     Null texts are empty.  A row with a null id has no place in the order: it
     loses nothing and takes nothing from others.  Rows of one id don't take
     from each other, repeated rows get equal results; texts of fewer than
-    LENGTH bytes are kept whole; an empty table gives no rows.
+    LENGTH bytes are kept whole; an empty table gives no rows.  With ``texts``,
+    what is left comes as whole characters in ``kept_text``, not as ``kept`` bytes.
     """
     spark = docs.sparkSession
+    left, left_type, arrow_type = ("kept_text", "string", pa.string()) if texts else ("kept", "binary", pa.binary())
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     uid = F.expr("(xxhash64(cast(doc_id as bigint)) & -4294967296L) | (row_key & 4294967295L)")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), text.alias("text")).select("doc_id", "row_key", uid.alias("uid"), "text")
@@ -711,11 +718,11 @@ def repeated_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                     gone += y - x
                     last = y
                 kept.append(raw[last:])
-                out.append((gone, len(s), b"".join(kept)))
-            yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["row_key", "n_removed", "n_spans", "kept"])
+                out.append((gone, len(s), decoded(kept) if texts else b"".join(kept)))
+            yield pa.RecordBatch.from_arrays([b.column("row_key"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], arrow_type)], names=["row_key", "n_removed", "n_spans", left])
 
     pass_marked = key_filter(marks.select("uid"))
-    cut = pass_marked(able.select("uid", "row_key", "text"), squeeze="text").join(marks, "uid").mapInArrow(remove, "row_key long, n_removed long, n_spans long, kept binary")
+    cut = pass_marked(able.select("uid", "row_key", "text"), squeeze="text").join(marks, "uid").mapInArrow(remove, f"row_key long, n_removed long, n_spans long, {left} {left_type}")
     return base, cut
 
 

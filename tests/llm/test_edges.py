@@ -277,6 +277,17 @@ def test_repeated_passages(docs, none):
     assert rows(suffix_dedup.removal_digests(none)) == []
 
 
+def test_cut_documents_keep_their_replacement_characters(spark):
+    passage = "".join(f"{w}{i} " for i, w in enumerate(WORDS * 3))[:200]
+    # 語 is e8 aa 9e and 誠 e8 aa a0: the passage repeated goes on to the middle of a character
+    data = [(1, passage + "語"), (2, "own \ufffd text " + passage + "誠 and \ufffd more"), (3, "whole \ufffd")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows(corpus_pipeline.repeated_passage_stage(spark, df, ""))}
+    assert got == {1: data[0][1], 2: "own \ufffd text  and \ufffd more", 3: "whole \ufffd"}
+    # the rests of two characters at a cut don't make a third one
+    assert suffix_dedup.decoded(["語".encode()[:2], "誠".encode()[2:] + b" x"]) == " x"
+
+
 def test_loser_tree_never_loses():
     rng = np.random.default_rng(2)
     runs, every = [], []
