@@ -4,8 +4,8 @@ Base statistics are exact and per document.  Thresholds come from mergeable
 quantile sketches: log-spaced histograms with a relative error of at most
 ``RELATIVE_ERROR``, whose counts add, so that sketches of (language, source)
 merge into those of a language and of the corpus.  A group's threshold is
-Tukey's fence over its own sketch, backed by the language's and then the
-corpus's sketch while the group is small, and joined to the documents.
+Tukey's fence over its own sketch, blended with those over the language's and
+the corpus's sketch by weights that grow with the counts, and joined to the documents.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ RELATIVE_ERROR = 0.02
 #: Values below this share the sketch's first bin.
 SMALLEST = 1e-4
 LAST_BIN = 1200
-#: A sketch of fewer documents gives way to the next wider one.
+#: A sketch of this many documents weighs as much as the wider ones; one of n documents has the share n / (n + MIN_GROUP).
 MIN_GROUP = 200
 FENCE = 3.0
 #: metric -> least spread that counts as one inter-quartile range.
@@ -130,6 +130,7 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(stats: DataFrame) -> DataFrame:
     """(lang, source, one fence a metric), a row for each group in the data."""
     sketch = written(sketches(stats), "quality-sketch")
+    share = lambda docs: docs / (docs + F.lit(MIN_GROUP))
     own, lang, every = fences(sketch, ["lang", "source"]), fences(sketch, ["lang"]), fences(sketch, [])
     joined = (
         own.alias("o")
@@ -139,8 +140,11 @@ def thresholds(stats: DataFrame) -> DataFrame:
             "o.lang",
             "o.source",
             "o.metric",
-            F.when(F.col("o.docs") >= MIN_GROUP, F.col("o.fence")).when(F.col("l.docs") >= MIN_GROUP, F.col("l.fence")).otherwise(F.col("e.fence")).alias("fence"),
+            (share(F.col("l.docs")) * F.col("l.fence") + (1 - share(F.col("l.docs"))) * F.col("e.fence")).alias("wider"),
+            F.col("o.fence").alias("own"),
+            share(F.col("o.docs")).alias("w"),
         )
+        .withColumn("fence", F.col("w") * F.col("own") + (1 - F.col("w")) * F.col("wider"))
     )
     return joined.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"max_{m}") for m in METRICS])
 

@@ -85,6 +85,16 @@ def test_quality_rules(docs, none):
     assert rows(quality_rules.quality_rules(none)) == []
 
 
+def test_thresholds_move_smoothly_with_the_count(spark):
+    def limit(n):
+        of = lambda size, lang, source, x: spark.range(size).select(F.lit(lang).alias("lang"), F.lit(source).alias("source"), *[F.lit(x).alias(m) for m in quality_rules.METRICS])
+        stats = of(n, "aa", "s", 0.5).union(of(3000, "aa", "t", 0.1)).union(of(3000, "bb", "t", 0.01))
+        return {(r["lang"], r["source"]): r["max_symbol_rate"] for r in quality_rules.thresholds(stats).collect()}["aa", "s"]
+
+    few, less, more, many = map(limit, (1, 199, 200, 20_000))
+    assert few < less < more < many and more - less < 0.01 * (many - few) and more - few > 0.3 * (many - few)
+
+
 def test_base_statistics_by_brute_force():
     text = "a b c d e f g h\n# a b c d e f g h $\nline\nline\n\n\n  \n"
     words = text.split()
