@@ -1,58 +1,71 @@
 """Exact n-gram Jaccard join by token-combination prefixes.
 
-Documents with equal shingle sets are one node.  Tokens (hashed shingles) are
-ordered by class, rare before frequent, then by hash.  A node of n tokens that
-is to overlap in a = ceil(0.8 n) of them shares one within its first n - a + 1
-tokens with every partner, and k within its first n - a + k.  Rare tokens of a
-prefix are indexed one by one.  Where a prefix runs into frequent tokens, it is
-extended by one and pairs of frequent tokens are indexed (small nodes), or the
-frequent tokens themselves (large nodes, whose combinations would be many); the
-sizes between belong to both, so that no pair falls between the two.
-
-Index lists are worked off in rounds: first every node against one pivot of its
-list, then, among what is not yet connected, short lists in full and long ones
-against more and more pivots until nothing is left.  A pair that is already
-connected needs no test, which is what keeps a list of thousands of near copies
-linear.  Candidates are verified on their whole token sets.
-
-The class only sets the order and so the work, never the result: it comes from
-counts over all documents that each task takes before they are summed.
+Tokens are hashed shingles, ordered by how many nodes hold them, rare before
+frequent, then by hash; a node is a distinct token set.  A node of n tokens
+differs from any partner in at most slack(n) = n - ceil(0.8 n) of them.
+
+1. Counting.  Each task sorts the tokens of a batch and sends every distinct one
+   once to the part of the hash range it falls in: with its owner, or, where
+   several nodes of the batch hold it, with their number alone.  The parts add up
+   and answer only for tokens in two nodes or more; back at its batch, a node with
+   more than slack(n) tokens of its own has no partner and is done.  What is left,
+   equal sets as one, is counted once more among itself.
+2. Index.  A node's prefix runs through its tokens in order until their units
+   exceed slack(n): a rare token is a unit.  Frequent tokens fall into groups by
+   class and hash; in a group of class k, l tokens are max(0, l - k + 1) units, so
+   the prefix is longer there, and all k-token combinations within the group are
+   its keys.  Two linked nodes have a key in common: slack(n) differing tokens
+   can't use up more units than that.  The number of groups follows the power of
+   two that n lies over; a node whose partners may lie under it is indexed for
+   that power too.
+3. Candidates.  Lists of the same nodes are one list.  Short lists are taken in
+   full; long ones against their most central node, then, as far as they join
+   different components, against some nodes more, then in full.  A pair is taken
+   in the first list only that it has in common (as far as the last ``WINDOW`` keys
+   of both tell), and only where sizes and xor sketches of the sets allow a link.
+4. Verification on the whole token sets (tokens of one node alone can't meet).
+
+Counts, order and sketches set the work alone, never the result.
 """
 
 from __future__ import annotations
 
+from functools import cache
+from itertools import combinations
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import combine, drop_written, mix64, read_table, release, row_key, shuffle_width, trim, written
-from .keyfilter import key_test
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
 ABOVE, UNDER = 4, 5
-#: A token counts in a task's batch from so many of its nodes on.
-LOCAL_LEAST = 2
-#: Counted so often in all, a token is frequent.
-FREQUENT = 32
-#: Most frequent tokens sent to the executors (8 bytes each); with more, the threshold rises.
-FREQUENT_MOST = 2_000_000
-#: Nodes of up to so many tokens index combinations.
-COMBINE_UPTO = 60
-#: Lists of up to so many nodes are worked off in full.
-SHORT_LIST = 48
-FIRST_PIVOTS = 16
-
-#: Most nodes in a list sent to the executors (8 bytes each).
-BROADCAST_NODES = 500_000
-#: Tokens below it are in a node's sketch.
-HALF = np.uint64(1 << 63)
-#: Bytes of text whose tokens are held at once.
-RUN_BYTES = 3 << 20
+#: Nodes that hold a token, as a power of two, from which its class is 2 and 3.
+PAIRS_FROM, TRIPLES_FROM = 5, 10
+#: Lists of up to so many nodes are taken in full at once.
+SHORT_LIST = 32
+#: Further nodes that a long list is held against before it is taken in full.
+PIVOTS = 16
+#: Earlier keys of a node that are looked at to see a pair's first list.
+WINDOW = 8
+#: 64-bit words of a sketch.
+SKETCH = 8
+#: Bytes of text, and documents, whose tokens are held at once.
+RUN_BYTES, RUN_DOCS = 3 << 20, 60_000
+#: Bytes of text whose tokens make up a part of the hash range.
+PART_BYTES = 16 << 20
+#: Owner of a token that several nodes of its batch hold.
+SEVERAL = 0xFFFF
+
+POSTINGS = "dest int, batch long, tokens binary, owners binary, counts binary, nodes binary, shared binary, info binary"
+NODES = "node long, th binary, sets binary, n int, r int, tokens array<long>, classes binary"
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -68,45 +81,11 @@ def tokens(text: str | None) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
-def node_of(t: np.ndarray) -> int:
-    """Key of a token set."""
-    return xxhash.xxh3_64_intdigest(t.tobytes()) - (1 << 63)
-
-
-def need(n: int) -> int:
+def need(n):
     """Least overlap of a set of n tokens with any partner."""
     return -(-ABOVE * n // UNDER)
 
 
-def index_keys(t: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rare tokens, keys of the frequent class) under which a node is listed; ``frequent`` is sorted."""
-    n = len(t)
-    p = n - need(n) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
-        often = frequent[at] == t
-    else:
-        often = np.zeros(n, bool)
-    rare = t[~often]
-    if len(rare) >= p:
-        return rare[:p], np.empty(0, np.uint64)
-    many = t[often]
-    keys = []
-    if n * ABOVE <= COMBINE_UPTO * UNDER:  # n <= COMBINE_UPTO / 0.8
-        some = many[: p + 1 - len(rare)]
-        i, j = np.triu_indices(len(some), 1)
-        keys.append(combine_two(some[i], some[j]))
-    if n * UNDER >= COMBINE_UPTO * ABOVE:  # n >= 0.8 * COMBINE_UPTO
-        keys.append(many[: p - len(rare)])
-    return rare, np.concatenate(keys)
-
-
-def combine_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31)))
-    x ^= x >> np.uint64(29)
-    return x * np.uint64(0xBF58476D1CE4E5B9) ^ np.uint64(0x5851F42D4C957F2D)
-
-
 def _slices(batches):
     """Batches cut to about RUN_BYTES of text."""
     for b in batches:
@@ -115,292 +94,365 @@ def _slices(batches):
         lo = 0
         while lo < b.num_rows:
             before = sizes[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(sizes, before + RUN_BYTES, side="right")))
+            hi = min(max(lo + 1, int(np.searchsorted(sizes, before + RUN_BYTES, side="right"))), lo + RUN_DOCS)
             yield b.slice(lo, hi - lo)
             lo = hi
 
 
-def _nodes(able: DataFrame) -> DataFrame:
-    """(doc_id, uid, node, n, tokens seen often in a batch): one row a document, and one more a batch."""
+# --- counting ---------------------------------------------------------------------
+
+
+def _starts(s: np.ndarray) -> np.ndarray:
+    """Where runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
 
-    def run(batches):
-        for b in _slices(batches):
-            node, size, sets, seen = [], [], [], set()
-            for text in b.column("text").to_pylist():
-                t = tokens(text)
-                size.append(len(t))
-                node.append(node_of(t) if len(t) else None)
-                if len(t) and node[-1] not in seen:
-                    seen.add(node[-1])
-                    sets.append(t)
-            often = counts = np.empty(0, np.int64)
-            if sets:
-                h = np.concatenate(sets)
-                h.sort()
-                at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-                c = np.diff([*at, len(h)])
-                often, counts = h[at][c >= LOCAL_LEAST].view(np.int64), c[c >= LOCAL_LEAST]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([b.column("doc_id"), pa.nulls(1, pa.int64())]),
-                    pa.concat_arrays([b.column("uid"), pa.nulls(1, pa.int64())]),
-                    pa.array([*node, None], pa.int64()),
-                    pa.array([*size, -1], pa.int64()),
-                    pa.array([*[None] * len(node), often], pa.list_(pa.int64())),
-                    pa.array([*[None] * len(node), counts], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "uid", "node", "n", "often", "counts"],
-            )
-
-    return able.select("doc_id", "uid", "text").mapInArrow(run, "doc_id long, uid long, node long, n long, often array<long>, counts array<long>")
-
-
-def _frequent(table: DataFrame) -> np.ndarray:
-    pairs = table.filter(F.col("n") < 0).select(F.explode(F.arrays_zip("often", "counts")).alias("p")).groupBy(F.col("p.often").alias("token")).agg(F.sum("p.counts").alias("c"))
-    pairs = written(pairs.filter(F.col("c") >= FREQUENT), "jaccard-frequent")
-    least = FREQUENT
-    while pairs.filter(F.col("c") >= least).count() > FREQUENT_MOST:
-        least *= 2
-    got = pairs.filter(F.col("c") >= least).select("token").toPandas()["token"].to_numpy(np.int64)
-    return np.sort(got.view(np.uint64))
-
-
-def _lists(able: DataFrame, frequent: np.ndarray, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Index lists (key, node, n) of two nodes or more: of rare tokens, of the frequent class."""
-    spark = able.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+
+def _posted(batch: int, ths: list[bytes], sets: list[bytes], sizes: list[int], names: list[int], held: list[np.ndarray], parts: int):
+    """The rows of POSTINGS of one batch of nodes; ``held``: the tokens of each that may be shared."""
+    owner = np.repeat(np.arange(len(held)), [len(t) for t in held])
+    h = np.concatenate([*held, np.empty(0, np.uint64)])
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    at = _starts(h)
+    times = np.diff([*at, len(h)])
+    several = times > 1
+    kept = np.repeat(several, times)
+    token, own = h[at], np.where(several, SEVERAL, owner[at]).astype("<u2")
+    dest = ((token >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    cuts = _starts(dest)
+    rows = []
+    for lo, hi in zip(cuts, [*cuts[1:], len(dest)]):
+        rows.append({"dest": int(dest[lo]), "batch": batch, "tokens": token[lo:hi].tobytes(), "owners": own[lo:hi].tobytes(), "counts": times[lo:hi][several[lo:hi]].astype("<u4").tobytes()})
+    # what the batch keeps for itself goes along and is passed on
+    info = b"".join(a + b for a, b in zip(ths, sets))
+    nodes = np.array(names, "<i8").tobytes() + np.array(sizes, "<u4").tobytes()
+    rows.append({"dest": batch % parts, "batch": batch, "tokens": token[several].tobytes(), "owners": owner[kept].astype("<u2").tobytes(), "counts": times[several].astype("<u4").tobytes(), "nodes": nodes, "info": info})
+    return rows
+
+
+_POSTING_SCHEMA = pa.schema([("dest", pa.int32()), ("batch", pa.int64()), *[(c, pa.binary()) for c in ("tokens", "owners", "counts", "nodes", "shared", "info")]])
+
+
+def _from_texts(docs: DataFrame, parts: int) -> DataFrame:
+    """POSTINGS of the distinct texts of each task; th is the digest of a text."""
 
     def run(batches):
-        often, seen = shared.value, set()
+        pid, k, seen = TaskContext.get().partitionId(), 0, set()
         for b in _slices(batches):
-            node, size, rare, many, owner_r, owner_m = [], [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                t = tokens(text)
-                if not len(t):
-                    continue
-                key = node_of(t)
-                if key in seen:
+            ths, sets, sizes, names, held = [], [], [], [], []
+            batch = pid * (1 << 23) + k
+            for th, text in zip(b.column("th").to_pylist(), b.column("text").to_pylist()):
+                if th in seen:
                     continue
-                seen.add(key)
-                r, m = index_keys(t, often)
-                rare.append(r)
-                many.append(m)
-                owner_r.append(np.full(len(r), len(node)))
-                owner_m.append(np.full(len(m), len(node)))
-                node.append(key)
-                size.append(len(t))
-            if not node:
-                continue
-            node, size = np.array(node, np.int64), np.array(size, np.int64)
-            r, o = np.concatenate(rare), np.concatenate(owner_r)
-            # prefixes hold small hashes, so they are mixed again
-            p = ((mix64(r ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
-            order = np.lexsort((o, p))
-            r, o, p = r[order], o[order], p[order]
-            cuts = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1]))) if len(p) else []
-            rows = []
-            for lo, hi in zip(cuts, [*cuts[1:], len(p)]):
-                own, per = np.unique(o[lo:hi], return_counts=True)
-                rows.append({"part": int(p[lo]), "keys": r[lo:hi].tobytes(), "nodes": node[own].tobytes(), "sizes": size[own].astype("<u4").tobytes(), "per": per.astype("<u4").tobytes(), "key": None, "node": None, "n": None})
-            m, o = np.concatenate(many).view(np.int64), np.concatenate(owner_m)
-            few = len(rows)
-            schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("per", pa.binary()), ("key", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
-            if few:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-            for lo in range(0, len(m), 50_000):
-                k = m[lo : lo + 50_000]
-                at = o[lo : lo + 50_000]
-                none = pa.nulls(len(k), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), -1), pa.int32()), none, none, none, none, pa.array(k), pa.array(node[at]), pa.array(size[at])], schema=schema)
-
-    raw = written(able.select("text").mapInArrow(run, "part int, keys binary, nodes binary, sizes binary, per binary, key long, node long, n long"), "jaccard-postings")
-
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
-        per = [np.frombuffer(x, "<u4") for x in pdf["per"]]
-        node = np.concatenate([np.repeat(np.frombuffer(x, np.int64), c) for x, c in zip(pdf["nodes"], per)])
-        n = np.concatenate([np.repeat(np.frombuffer(x, "<u4"), c) for x, c in zip(pdf["sizes"], per)]).astype(np.int64)
-        order = np.argsort(k, kind="stable")
-        s = k[order]
-        edge = np.concatenate(([True], s[1:] != s[:-1], [True]))
-        lone = edge[:-1] & edge[1:]
-        order = order[~lone]
-        k, node, n = k[order].view(np.int64), node[order], n[order]
-        order = np.lexsort((node, k))  # one node may come from several tasks
-        k, node, n = k[order], node[order], n[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (node[1:] != node[:-1]))) if len(k) else np.empty(0, bool)
-        k, node, n = k[new], node[new], n[new]
-        edge = np.concatenate(([True], k[1:] != k[:-1], [True])) if len(k) else np.array([True])
-        stay = ~(edge[:-1] & edge[1:]) if len(k) else np.empty(0, bool)
-        return pd.DataFrame({"key": k[stay], "node": node[stay], "n": n[stay]})
-
-    rare = written(raw.filter("part >= 0").groupBy("part").applyInPandas(gather, "key long, node long, n long"), "jaccard-rare")
-    many = written(raw.filter("part < 0").groupBy("key", "node").agg(F.max("n").alias("n")), "jaccard-many")
-    drop_written(raw)
-    release(spark)
-    return rare, many
+                seen.add(th)
+                t = tokens(text)
+                ths.append(th)
+                sets.append(xxhash.xxh3_128_digest(t.tobytes()))
+                sizes.append(len(t))
+                names.append(batch * 65536 + len(names))
+                held.append(t)
+            k += 1
+            if ths:
+                yield pa.RecordBatch.from_pylist(_posted(batch, ths, sets, sizes, names, held, parts), schema=_POSTING_SCHEMA)
 
+    return docs.select("th", "text").mapInArrow(run, POSTINGS)
 
-def _sketches(able: DataFrame, chosen) -> DataFrame:
-    """(node, n, sketch, same, rest) of the nodes whose representative is ``chosen`` by key.
 
-    The sketch holds the low halves of the tokens in the lower half of the hash
-    range; ``same`` of these fell together and ``rest`` tokens are beyond it.
-    The test of keys is exact: the copies of a representative stay out, or a
-    node with very many of them would multiply in the joins.
-    """
+def _from_nodes(nodes: DataFrame, parts: int) -> DataFrame:
+    """POSTINGS of a written table of NODES."""
 
     def run(batches):
-        for b in _slices(batches):
-            rows = [tokens(t) for t in b.filter(pa.array(chosen(b.column("uid").to_numpy()))).column("text").to_pylist()]
-            low = [t[: np.searchsorted(t, HALF)] for t in rows]
-            short = [np.unique(t.astype(np.uint32)).view(np.int32) for t in low]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([node_of(t) if len(t) else None for t in rows], pa.int64()),
-                    pa.array([len(t) for t in rows], pa.int64()),
-                    pa.array(short, pa.list_(pa.int32())),
-                    pa.array([len(x) - len(y) for x, y in zip(low, short)], pa.int64()),
-                    pa.array([len(x) - len(y) for x, y in zip(rows, low)], pa.int64()),
-                ],
-                names=["node", "n", "sketch", "same", "rest"],
-            )
-
-    return able.select("uid", "text").mapInArrow(run, "node long, n long, sketch array<int>, same long, rest long")
-
-
-def _token_sets(able: DataFrame, chosen) -> DataFrame:
-    """(node, set) likewise."""
+        pid, k = TaskContext.get().partitionId(), 0
+        for whole in batches:
+            trim()
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                col = {c: b.column(c).to_pylist() for c in ("th", "sets", "n", "node")}
+                held = [np.asarray(x.values, np.int64).view(np.uint64) for x in b.column("tokens")]
+                yield pa.RecordBatch.from_pylist(_posted(pid * (1 << 23) + k, col["th"], col["sets"], col["n"], col["node"], held, parts), schema=_POSTING_SCHEMA)
+                k += 1
+
+    return nodes.select("th", "sets", "n", "node", "tokens").mapInArrow(run, POSTINGS)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Of one part: the tokens that two nodes or more hold, for each batch, with their count as a power of two."""
+    trim()
+    rows, out = table.to_pylist(), []
+    del table
+    out += [r | {"dest": 0} for r in rows if r["nodes"] is not None]
+    rows = [r for r in rows if r["nodes"] is None]
+    token = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+    own = [np.frombuffer(r["owners"], "<u2") for r in rows]
+    weight = []
+    for o, r in zip(own, rows):
+        w = np.ones(len(o), np.int64)
+        w[o == SEVERAL] = np.frombuffer(r["counts"], "<u4")
+        weight.append(w)
+    if rows:
+        every = np.concatenate(token)
+        order = np.argsort(every, kind="stable")
+        at = _starts(every[order])
+        total = np.add.reduceat(np.concatenate(weight)[order], at)
+        level = np.empty(len(every), np.uint8)
+        level[order] = np.repeat(np.where(total > 1, np.floor(np.log2(total)), 0).astype(np.uint8), np.diff([*at, len(every)]))
+        del every, order
+        lo = 0
+        for r, t, o in zip(rows, token, own):
+            c = level[lo : lo + len(t)]
+            lo += len(t)
+            more = c > 0
+            if more.any():
+                out.append({"dest": 0, "batch": r["batch"], "tokens": t[more].tobytes(), "owners": o[more].tobytes(), "shared": c[more].tobytes()})
+    return pa.Table.from_pylist(out, schema=_POSTING_SCHEMA)
+
+
+_NODE_SCHEMA = pa.schema([("node", pa.int64()), ("th", pa.binary()), ("sets", pa.binary()), ("n", pa.int32()), ("r", pa.int32()), ("tokens", pa.list_(pa.int64())), ("classes", pa.binary())])
+
+
+def _regrouped(table: pa.Table) -> pa.Table:
+    """Of one batch: its nodes, with the shared tokens of those that may have a partner, in order."""
+    trim()
+    rows = table.to_pylist()
+    own_rows = [r for r in rows if r["nodes"] is not None]
+    if len(own_rows) != 1:
+        raise RuntimeError("the rows of a batch don't belong together; the input must give the same rows in the same order when a task is run again")
+    me, rows = own_rows[0], [r for r in rows if r["nodes"] is None]
+    m = len(me["nodes"]) // 12
+    names, sizes = np.frombuffer(me["nodes"][: 8 * m], "<i8"), np.frombuffer(me["nodes"][8 * m :], "<u4").astype(np.int64)
+    token = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r["tokens"], np.uint64) for r in rows]])
+    own = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(r["owners"], "<u2").astype(np.int64) for r in rows]])
+    level = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(r["shared"], np.uint8) for r in rows]])
+    many = own == SEVERAL
+    if many.any():
+        mine, times = np.frombuffer(me["tokens"], np.uint64), np.frombuffer(me["counts"], "<u4").astype(np.int64)
+        owners, first = np.frombuffer(me["owners"], "<u2").astype(np.int64), np.concatenate(([0], np.cumsum(times)[:-1]))
+        at = np.searchsorted(mine, token[many])
+        each = times[at]
+        spots = np.repeat(first[at] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
+        token, own, level = [np.concatenate(x) for x in ((token[~many], np.repeat(token[many], each)), (own[~many], owners[spots]), (level[~many], np.repeat(level[many], each)))]
+    shared = np.bincount(own, minlength=m)
+    # tokens that no other node holds must not outnumber the slack; a set without tokens links with nothing
+    stay = (sizes - shared <= sizes - need(sizes)) & (sizes > 0)
+    keep = stay[own]
+    token, own, level = token[keep], own[keep], level[keep]
+    order = np.lexsort((token, level, own))
+    token, own, level = token[order], own[order], level[order]
+    per = np.bincount(own, minlength=m)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(per))), pa.int32()), pa.array(token.view(np.int64)))
+    ends, raw = np.concatenate(([0], np.cumsum(per))), level.tobytes()
+    none = pa.array(~stay)
+    return pa.Table.from_arrays(
+        [
+            pa.array(names, pa.int64()),
+            pa.array([me["info"][32 * i : 32 * i + 16] for i in range(m)], pa.binary()),
+            pa.array([me["info"][32 * i + 16 : 32 * i + 32] for i in range(m)], pa.binary()),
+            pa.array(sizes, pa.int32()),
+            pa.array(shared, pa.int32()),
+            pc.if_else(none, pa.scalar(None, pa.list_(pa.int64())), lists),
+            pa.array([raw[a:b] if s else None for a, b, s in zip(ends, ends[1:], stay)], pa.binary()),
+        ],
+        schema=_NODE_SCHEMA,
+    )
+
+
+def _counted(postings: DataFrame, name: str) -> DataFrame:
+    """NODES, with tokens for those that may have a partner."""
+    part = postings.groupBy("dest").applyInArrow(_added, POSTINGS)
+    return written(part.groupBy("batch").applyInArrow(_regrouped, NODES), name)
+
+
+# --- index ------------------------------------------------------------------------
+
+
+@cache
+def _chosen(l: int, k: int) -> np.ndarray:
+    return np.array(list(combinations(range(l), k)), np.int64).reshape(-1, k)
+
+
+def _mixed(columns: list[np.ndarray], tag: int) -> np.ndarray:
+    x = np.full(len(columns[0]), tag, np.uint64)
+    for c in columns:
+        x = mix64(x ^ c) + c * np.uint64(0x9E3779B97F4A7C15)
+    return mix64(x)
+
+
+def schemes(n: int) -> list[int]:
+    """Powers of two that a node of n tokens is indexed for: the one below n, and the next lower if partners may be under it."""
+    b = n.bit_length() - 1
+    return [b, b - 1] if b and need(n) < 1 << b else [b]
+
+
+def groups(b: int) -> int:
+    """Groups of a frequent class for sizes from 2 ** b: the units that the groups cost leave enough for any set."""
+    return max(1, (1 << b) // 5)
+
+
+def index_keys(t: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
+    """Keys of a node with shared tokens ``t``, ordered by ``level`` and hash, out of n tokens."""
+    left = n - need(n) + 1 - (n - len(t))  # tokens of its own come first: units without a list
+    often = level >= PAIRS_FROM if n >= 4 else np.zeros(len(t), bool)
+    rare = t[~often][:left]
+    keys, left = [_mixed([rare], 1)], left - len(rare)
+    many, grade = t[often], np.where(level[often] >= TRIPLES_FROM, 3, 2)
+    for b in schemes(n) if left > 0 else []:
+        g = grade * groups(b) + (mix64(many ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)).astype(np.int64) % groups(b)
+        order = np.lexsort((many, g))
+        s, g = many[order], g[order]
+        at, units = _starts(g), left
+        for lo, hi in zip(at, [*at[1:], len(g)]):
+            k = int(g[lo]) // groups(b)
+            l = min(hi - lo, units + k - 1)
+            if l >= k:
+                pick = s[lo : lo + l][_chosen(l, k)]
+                keys.append(_mixed(list(pick.T), 16 * b + k))
+                units -= l - k + 1
+                if not units:
+                    break
+    return np.concatenate(keys)
+
+
+def sketch(t: np.ndarray) -> np.ndarray:
+    """Bits of 64 * SKETCH that an odd number of tokens falls on: two sets differ in as many tokens at least as their sketches do in bits."""
+    h = mix64(t ^ np.uint64(0xA0761D6478BD642F))
+    odd = np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def _indexed(nodes: DataFrame) -> DataFrame:
+    """(node, key) for each key of each node."""
 
     def run(batches):
-        for b in _slices(batches):
-            rows = [tokens(t) for t in b.filter(pa.array(chosen(b.column("uid").to_numpy()))).column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(t) if len(t) else None for t in rows], pa.int64()), pa.array([t.view(np.int64) for t in rows], pa.list_(pa.int64()))], names=["node", "set"])
+        for b in batches:
+            trim()
+            for lo in range(0, b.num_rows, 200):
+                c = b.slice(lo, 200)
+                keys = [index_keys(np.asarray(t.values, np.int64).view(np.uint64), np.frombuffer(v, np.uint8), n).view(np.int64) for t, v, n in zip(c.column("tokens"), c.column("classes").to_pylist(), c.column("n").to_pylist())]
+                per = [len(k) for k in keys]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c.column("node").to_numpy(), per)), pa.array(np.concatenate(keys))], names=["node", "key"])
 
-    return able.select("uid", "text").mapInArrow(run, "node long, set array<long>")
+    return nodes.select("node", "n", "tokens", "classes").mapInArrow(run, "node long, key long")
 
 
-def _chosen(reps: DataFrame, table: DataFrame):
-    """An exact test for the keys in ``reps`` (uid), a part of those in ``table``."""
-    keys = table.filter(F.col("uid").isNotNull()).select("uid")
-    return key_test(reps, keys.join(reps, "uid", "left_anti"))
+def _outlined(nodes: DataFrame) -> DataFrame:
+    """(node, n, r, mid, s0 .. ): sketches, and how central a node is."""
+    words = [f"s{i}" for i in range(SKETCH)]
 
+    def run(batches):
+        for b in batches:
+            s = [sketch(np.asarray(t.values, np.int64).view(np.uint64)) for t in b.column("tokens")]
+            mid = [float(np.exp2(np.minimum(np.frombuffer(v, np.uint8), 40)).sum() / n) for v, n in zip(b.column("classes").to_pylist(), b.column("n").to_pylist())]
+            if s:
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("r"), pa.array(mid), *map(pa.array, np.stack(s).T)], names=["node", "n", "r", "mid", *words])
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    return nodes.select("node", "n", "r", "tokens", "classes").mapInArrow(run, "node long, n int, r int, mid double, " + ", ".join(f"{w} long" for w in words))
 
 
-def _of(table: DataFrame, ends: DataFrame) -> DataFrame:
-    """Rows of ``table`` whose node is an end; a list of ends of checked size spares the others a shuffle."""
-    return table.join(F.broadcast(ends), "node", "left_semi") if ends.count() <= BROADCAST_NODES else table
+def _lists(nodes: DataFrame) -> DataFrame:
+    """Entries (key, m, node, n, r, mid, sketch, before) of the lists of two nodes or more, a list of the same nodes once."""
+    keys = written(_indexed(nodes), "jaccard-keys")
+    prints = keys.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("g")).filter("m > 1")
+    one = prints.groupBy("m", "f", "g").agg(F.min("key").alias("key"))
+    held = keys.join(one.select("key", "m"), "key")
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("key").rowsBetween(-WINDOW, -1))
+    held = held.withColumn("before", before).join(_outlined(nodes), "node")
+    out = written(held, "jaccard-lists")
+    drop_written(keys)
+    return out
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, able: DataFrame, reps: DataFrame, table: DataFrame) -> DataFrame:
-    """Pairs (a, b) with Jaccard similarity at or above the threshold, as a written table.
+# --- candidates and links -------------------------------------------------------------
 
-    An overlap is at most that of the sketches plus the smaller rest; where that
-    is too little, whole sets are never made.
-    """
 
-    def side(table: DataFrame, name: str) -> DataFrame:
-        return table.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in table.columns if c != "node"])
+def _other(table: DataFrame) -> DataFrame:
+    """Columns but the key under other names."""
+    return table.select("key", *[F.col(c).alias(f"o_{c}") for c in table.columns if c not in ("key", "m")])
+
+
+def _may_link() -> Column:
+    """Sizes and sketches of an entry and another leave a link possible."""
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"o_s{i}"))) for i in range(SKETCH)), F.lit(0))
+    n = F.col("n") + F.col("o_n")
+    # the overlap is at most half of what the shared tokens of both leave beside those that differ
+    return (UNDER * F.col("n") >= ABOVE * F.col("o_n")) & (UNDER * F.col("o_n") >= ABOVE * F.col("n")) & ((ABOVE + UNDER) * (F.col("r") + F.col("o_r") - apart) >= 2 * ABOVE * n)
+
+
+def _first_list() -> Column:
+    return ~F.arrays_overlap("before", "o_before")
+
 
-    some = _of(sketches, written(_ends(pairs), "jaccard-asked"))
-    rough = pairs.join(side(some, "b"), "b").join(side(some, "a"), "a")
-    most = F.size(F.array_intersect("sketch_a", "sketch_b")) + F.col("same_a") + F.col("same_b") + F.least("rest_a", "rest_b")
-    close = written(rough.filter((ABOVE + UNDER) * most >= ABOVE * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct(), "jaccard-close")
-    release(pairs.sparkSession)
-    near = written(reps.join(_ends(close), "node", "left_semi").select("uid"), "jaccard-near")
-    sets = written(_token_sets(able, _chosen(near, table)), "jaccard-sets")
-    both = close.join(side(sets, "b"), "b").join(side(sets, "a"), "a")
-    meet = F.size(F.array_intersect("set_a", "set_b"))
-    good = written(both.filter(UNDER * meet >= ABOVE * (F.size("set_a") + F.size("set_b") - meet)).select("a", "b").distinct(), "jaccard-links")
-    drop_written(sets)
-    release(pairs.sparkSession)
-    return good
+def _candidates(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+    """Pairs (a, b) of a list's entries on the left and on the right; ``once``: both sides are the same."""
+    other = _other(right).withColumnRenamed("key", "o_key")
+    on = (F.col("key") == F.col("o_key")) & (F.col("comp") != F.col("o_comp"))
+    if once:
+        on &= F.col("node") < F.col("o_node")
+    both = left.join(other, on & _may_link() & _first_list())
+    return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs with Jaccard similarity at or above the threshold, as a written table."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    meet = F.size(F.array_intersect("t_a", "t_b"))
+    return written(both.filter(UNDER * meet >= ABOVE * (F.col("n_a") + F.col("n_b") - meet)).select("a", "b"), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the least node of each node's component, by alternating stars."""
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
+    state = None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-least")
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = written(large, "components-large")
-        small_least = written(large.groupBy("u").agg(F.min("v").alias("m")), "components-small-least")
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        small = written(small, "components-small")
-        done = small.count() == edges.count() and small.exceptAll(edges).isEmpty()
-        for old in (edges, least, large, small_least):
-            drop_written(old)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
+        small = written(small, "components")
+        was, state = state, small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
+        drop_written(edges)
         edges = small
-        if done:
+        if state == was:
             return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
 
 
-def _with_comp(lists: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return lists.withColumn("comp", F.col("node"))
-    return lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("key", "node", "n", "comp")
-
-
-def _similar_size(a: str, b: str):
-    return (UNDER * F.col(a) >= ABOVE * F.col(b)) & (UNDER * F.col(b) >= ABOVE * F.col(a))
-
-
-def linked(able: DataFrame, table: DataFrame) -> DataFrame | None:
+def linked(nodes: DataFrame) -> DataFrame | None:
     """Verified links (a, b) that connect what links connect, or None without any."""
-    parts = max(shuffle_width(able.sparkSession), 1)
-    rare, many = _lists(able, _frequent(table), parts)
-    lists = rare.union(many)
-    reps = table.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("uid").alias("uid"))
-    reps = written(reps, "jaccard-reps")
-    edges = comp = tested = sketches = None
-    pivots = 1
-    while True:
-        held = written(_with_comp(lists, comp), "jaccard-lists")
-        state = held.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("n", "node", "comp")).alias("pivot")).filter("lo <> hi")
-        state = written(state, "jaccard-state")
-        if state.isEmpty():
-            return edges
-        # only lists that still join different components
-        live = held.join(state.select("key", "m"), "key")
-        if pivots == 1:
-            side = state.select("key", F.col("pivot.node").alias("pn"), F.col("pivot.n").alias("ps"), F.col("pivot.comp").alias("pc"))
-            pairs = held.join(side, "key")
-            lists_next = live.select("key", "node", "n")
+    lists = _lists(nodes)
+    entries = lists.withColumn("comp", F.col("node"))
+    edges = None
+    for turn in ("first", "some", "all"):
+        short, long_ = entries.filter(F.col("m") <= SHORT_LIST), entries.filter(F.col("m") > SHORT_LIST)
+        if turn == "first":
+            middle = long_.groupBy("key").agg(F.max(F.struct("mid", "node")).alias("x")).select("key", F.col("x.node").alias("node"))
+            pairs = _candidates(short, short, True).union(_candidates(long_, long_.join(middle, ["key", "node"]), False))
+        elif turn == "some":
+            # the most central node of some components of each list
+            of = long_.groupBy("key", "comp").agg(F.max(F.struct("mid", "node")).alias("x"), F.count("*").alias("c"))
+            some = of.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), F.desc("x")))).filter(F.col("at") <= PIVOTS)
+            pairs = _candidates(long_, long_.join(some.select("key", F.col("x.node").alias("node")), ["key", "node"]), False)
         else:
-            short = live.filter(F.col("m") <= SHORT_LIST)
-            long_ = live.filter(F.col("m") > SHORT_LIST)
-            chosen = long_.groupBy("key").agg(F.expr(f"slice(array_sort(collect_set(IF(pmod(xxhash64(node, key), greatest(cast(1 as bigint), m div {pivots})) = 0, struct(n, node, comp), NULL))), 1, {4 * pivots})").alias("c"))
-            first = long_.groupBy("key").agg(F.min(F.struct("n", "node", "comp")).alias("f"))
-            chosen = chosen.join(first, "key").select("key", F.explode(F.array_distinct(F.concat(F.array("f"), "c"))).alias("p"))
-            chosen = written(chosen.select("key", F.col("p.node").alias("pn"), F.col("p.n").alias("ps"), F.col("p.comp").alias("pc")), "jaccard-pivots")
-            other = short.select("key", F.col("node").alias("pn"), F.col("n").alias("ps"), F.col("comp").alias("pc"))
-            pairs = short.join(other, "key").filter("node < pn").union(long_.join(chosen, "key"))
-            lists_next = long_.join(chosen.select("key", F.col("pn").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n")
-        pairs = pairs.filter((F.col("comp") != F.col("pc")) & _similar_size("n", "ps")).select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = _candidates(long_, long_, True)
         pairs = written(pairs, "jaccard-pairs")
-        if not pairs.isEmpty():
-            ends = _ends(pairs)
-            fresh = ends if sketches is None else ends.join(sketches.select("node"), "node", "left_anti")
-            fresh = written(reps.join(fresh, "node", "left_semi").select("uid"), "jaccard-ends")
-            if not fresh.isEmpty():
-                more = written(_sketches(able, _chosen(fresh, table)), "jaccard-sketches")
-                sketches = more if sketches is None else sketches.union(more)
-            release(able.sparkSession)
-            good = _verified(pairs, sketches, able, reps, table)
-            tested = pairs if tested is None else tested.union(pairs)
-            if not good.isEmpty():
-                edges = good if edges is None else edges.union(good)
-                comp = written(components(edges), "jaccard-comp")
-        lists = written(lists_next, "jaccard-rest")
-        drop_written(held)
-        release(able.sparkSession)
-        pivots = FIRST_PIVOTS if pivots == 1 else pivots * 8
+        good = _verified(pairs, nodes)
+        drop_written(pairs)
+        if not good.isEmpty():
+            edges = good if edges is None else written(edges.union(good), "jaccard-edges")
+        if turn == "all":
+            break
+        # long lists that still join different components go on
+        left = lists.filter(F.col("m") > SHORT_LIST)
+        if left.isEmpty():
+            break
+        comp = None if edges is None else written(components(edges), "jaccard-comp")
+        entries = left.withColumn("comp", F.col("node")) if comp is None else left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        entries = written(entries.join(open_, "key", "left_semi"), "jaccard-open")
+        if entries.isEmpty():
+            break
+    drop_written(lists)
+    return edges
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -409,24 +461,41 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     Null and empty texts, and texts of white space, have no shingle, link with
     nothing and are their own component.  A row with a null id keeps a null
     component and gives its group no name, but links like others.  Repeated
-    rows share a component; an empty table gives no rows.
+    rows share a component; an empty table gives no rows.  Very long texts are
+    read whole, in a batch of their own.  Other columns are not looked at.
+
+    ``docs`` is read twice and must give the same rows in the same order when a
+    lost task is run again, as files do.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("uid"), "text")
-    table = written(_nodes(keyed), "jaccard-nodes")
-    edges = linked(keyed.filter(F.col("text").isNotNull()), table)
-    rows = table.filter(F.col("n") >= 0).select("doc_id", F.col("n").alias("n_shingles"), "node", F.col("uid").alias("row_key"))
-    least = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first"))
+    spark = docs.sparkSession
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.unhex(F.md5("text")).alias("th"), "text")
+    rows = written(keyed.select("doc_id", "row_key", "th", F.octet_length("text").cast("long").alias("size")), "jaccard-rows")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    parts = max(shuffle_width(spark), -(-total // PART_BYTES))
+    table = _counted(_from_texts(keyed.filter(F.col("text").isNotNull()), parts), "jaccard-nodes")
+    release(spark)
+    able = table.filter(F.col("tokens").isNotNull())
+    of = able.select("node", "sets").withColumn("rep", F.min("node").over(Window.partitionBy("sets")))
+    of = written(of.select("node", "rep"), "jaccard-equal")
+    single = able.join(of.filter("node = rep").select("node"), "node", "left_semi")
+    single = written(single.select("node", "th", "sets", "n", "tokens"), "jaccard-single")
+    nodes = _counted(_from_nodes(single, shuffle_width(spark)), "jaccard-able").filter(F.col("tokens").isNotNull())
+    drop_written(single)
+    edges = linked(nodes)
+    release(spark)
+    # names: each text's node, its set's first node, its component
+    texts = table.select("th", "node", "n").join(of, "node", "left").select("th", "n", F.coalesce("rep", "node").alias("node"))
     if edges is not None:
-        comp = written(components(edges), "jaccard-final")
-        of = least.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        of = written(of, "jaccard-of")
-        # written, so that a component of very many nodes can be split between tasks in the join
-        name = written(of.groupBy("comp").agg(F.min("first").alias("component_id")), "jaccard-components")
-        least = of.join(name, "comp").select("node", "component_id")
-    else:
-        least = least.withColumnRenamed("first", "component_id")
-    least = written(least, "jaccard-names")
-    return rows.join(least, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row_key")
+        comp = written(components(edges), "jaccard-comp")
+        texts = texts.join(comp, "node", "left").select("th", "n", F.coalesce("comp", "node").alias("node"))
+    texts = texts.groupBy("th").agg(F.max("n").alias("n"), F.min("node").alias("node"))
+    first = rows.filter("th IS NOT NULL").groupBy("th").agg(F.min("doc_id").alias("first"))
+    texts = written(texts.join(first, "th", "left"), "jaccard-texts")
+    # written, so that a component of very many texts can be split between tasks in the join
+    name = written(texts.groupBy("node").agg(F.min("first").alias("component_id")), "jaccard-components")
+    texts = written(texts.join(name, "node").select("th", "n", F.when(F.col("n") > 0, F.col("component_id")).alias("component_id")), "jaccard-names")
+    out = rows.join(texts, "th", "left")
+    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "row_key")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -218,16 +218,68 @@ def test_near_duplicates(docs, none):
 
 def test_pairs_lose_no_link_whatever_the_classes():
     rng = np.random.default_rng(5)
-    pool = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
-    often = np.sort(rng.choice(pool, 200, replace=False))
-    for size in (3, 10, 48, 60, 75, 90):
-        for _ in range(30):
-            a = np.sort(rng.choice(pool, size, replace=False))
-            b = np.sort(np.unique(np.concatenate((rng.choice(a, int(size * 0.9) or 1, replace=False), rng.choice(pool, max(size // 20, 1))))))
-            meet = len(np.intersect1d(a, b))
-            if 5 * meet >= 4 * (len(a) + len(b) - meet):
-                x, y = jaccard_join.index_keys(a, often), jaccard_join.index_keys(b, often)
-                assert np.intersect1d(x[0], y[0]).size or np.intersect1d(x[1], y[1]).size
+    pool = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    linked = 0
+    for top in (3, 8, 14):
+        level = rng.integers(1, top, len(pool)).astype(np.uint8)
+
+        def keys(t, n):
+            of = level[np.searchsorted(pool, t)]
+            order = np.lexsort((t, of))
+            return jaccard_join.index_keys(t[order], of[order], n)
+
+        for size in (1, 2, 3, 4, 5, 7, 8, 10, 15, 16, 31, 33, 48, 64, 75, 90, 130, 300, 1030):
+            for _ in range(12):
+                a = np.sort(rng.choice(pool, size, replace=False))
+                b = np.sort(np.unique(np.concatenate((rng.choice(a, max(1, int(size * rng.uniform(0.8, 1))), replace=False), rng.choice(pool, rng.integers(0, 1 + size // 9))))))
+                meet = np.intersect1d(a, b)
+                # some of the tokens in one set alone belong to one node alone
+                lone = lambda x: x[np.isin(x, meet) | (rng.random(len(x)) < 0.5)]
+                if 5 * len(meet) >= 4 * (len(a) + len(b) - len(meet)):
+                    linked += 1
+                    assert np.intersect1d(keys(lone(a), len(a)), keys(lone(b), len(b))).size
+                    apart = sum(int(x).bit_count() for x in (jaccard_join.sketch(a) ^ jaccard_join.sketch(b)).view(np.uint64))
+                    assert apart <= len(a) + len(b) - 2 * len(meet)
+    assert linked > 150
+
+
+def test_near_copies_by_brute_force(spark):
+    """A cluster of near copies beyond the classes' bounds, shared passages, case and white space, ties of exactly 0.8."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    take = lambda n: [vocabulary[i] for i in rng.integers(0, 5000, n)]
+    base, passage, texts = take(90), take(60), []
+    for i in range(300):
+        words = list(base)
+        for at in rng.integers(0, 90, rng.integers(0, 4)):
+            words[at] = f"x{i}"
+        texts.append(" ".join(words).upper() if i % 7 == 0 else ("\t" if i % 5 == 0 else " ").join(words))
+    for i in range(60):
+        texts.append(" ".join(take(int(rng.integers(1, 40))) + passage + take(int(rng.integers(0, 60)))))
+    for i in range(40):
+        words = take(13)  # 9 shingles
+        texts += [" ".join(words), " ".join([*words[:-1], "y"]), " ".join(words[:-1]), " ".join(words[:8]), " ".join(words[:3])]
+    texts += ["one two", "One  TWO", "one two three"] * 40
+    ids = rng.permutation(len(texts) * 3)[: len(texts)].tolist()
+    sets = {}
+    for i, t in zip(ids, texts):
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    order = sorted(ids)
+    for x, a in enumerate(order):
+        for b in order[x + 1 :]:
+            meet = len(sets[a] & sets[b])
+            if 100 * meet >= 80 * (len(sets[a]) + len(sets[b]) - meet) and root(a) != root(b):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    got = rows(jaccard_join.near_duplicate_groups(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(5)))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(i, len(sets[i]), root(i)) for i in order]
 
 
 def test_packing(docs, none):
