@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,10 +61,13 @@ def drop_written(df: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that are no longer referred to.
 
-    It does so when the driver collects its garbage, which by itself may be long after.
+    It does so when the driver collects its garbage, which by itself may be long
+    after; what one collection finds may let go of more, so there are two.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def trim() -> None:

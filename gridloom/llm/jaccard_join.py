@@ -61,6 +61,8 @@ SKETCH = 8
 RUN_BYTES, RUN_DOCS = 3 << 20, 60_000
 #: Bytes of text whose tokens make up a part of the hash range.
 PART_BYTES = 16 << 20
+#: A token is a 56-bit hash.
+SPARE = np.uint64(8)
 #: Owner of a token that several nodes of its batch hold.
 SEVERAL = 0xFFFF
 
@@ -75,8 +77,8 @@ def tokens(text: str | None) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(words) < WORDS:
-        return combine(h, len(words)) ^ np.uint64(len(words))
-    h = combine(h, WORDS)
+        return (combine(h, len(words)) ^ np.uint64(len(words))) >> SPARE
+    h = combine(h, WORDS) >> SPARE
     h.sort()
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
@@ -107,6 +109,17 @@ def _starts(s: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
 
 
+def _planes(t: np.ndarray) -> bytes:
+    """Ascending tokens as the bytes of their differences, lowest bytes first: the high ones are nearly all zero and cost a shuffle little."""
+    return np.diff(t, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T[:7].tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    d = np.zeros((len(raw) // 7, 8), np.uint8)
+    d[:, :7] = np.frombuffer(raw, np.uint8).reshape(7, -1).T
+    return np.cumsum(d.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _posted(batch: int, ths: list[bytes], sets: list[bytes], sizes: list[int], names: list[int], held: list[np.ndarray], parts: int):
     """The rows of POSTINGS of one batch of nodes; ``held``: the tokens of each that may be shared."""
     owner = np.repeat(np.arange(len(held)), [len(t) for t in held])
@@ -118,15 +131,15 @@ def _posted(batch: int, ths: list[bytes], sets: list[bytes], sizes: list[int], n
     several = times > 1
     kept = np.repeat(several, times)
     token, own = h[at], np.where(several, SEVERAL, owner[at]).astype("<u2")
-    dest = ((token >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
+    dest = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
     cuts = _starts(dest)
     rows = []
     for lo, hi in zip(cuts, [*cuts[1:], len(dest)]):
-        rows.append({"dest": int(dest[lo]), "batch": batch, "tokens": token[lo:hi].tobytes(), "owners": own[lo:hi].tobytes(), "counts": times[lo:hi][several[lo:hi]].astype("<u4").tobytes()})
+        rows.append({"dest": int(dest[lo]), "batch": batch, "tokens": _planes(token[lo:hi]), "owners": own[lo:hi].tobytes(), "counts": times[lo:hi][several[lo:hi]].astype("<u4").tobytes()})
     # what the batch keeps for itself goes along and is passed on
     info = b"".join(a + b for a, b in zip(ths, sets))
     nodes = np.array(names, "<i8").tobytes() + np.array(sizes, "<u4").tobytes()
-    rows.append({"dest": batch % parts, "batch": batch, "tokens": token[several].tobytes(), "owners": owner[kept].astype("<u2").tobytes(), "counts": times[several].astype("<u4").tobytes(), "nodes": nodes, "info": info})
+    rows.append({"dest": batch % parts, "batch": batch, "tokens": _planes(token[several]), "owners": owner[kept].astype("<u2").tobytes(), "counts": times[several].astype("<u4").tobytes(), "nodes": nodes, "info": info})
     return rows
 
 
@@ -182,7 +195,7 @@ def _added(table: pa.Table) -> pa.Table:
     del table
     out += [r | {"dest": 0} for r in rows if r["nodes"] is not None]
     rows = [r for r in rows if r["nodes"] is None]
-    token = [np.frombuffer(r["tokens"], np.uint64) for r in rows]
+    token = [_from_planes(r["tokens"]) for r in rows]
     own = [np.frombuffer(r["owners"], "<u2") for r in rows]
     weight = []
     for o, r in zip(own, rows):
@@ -203,7 +216,7 @@ def _added(table: pa.Table) -> pa.Table:
             lo += len(t)
             more = c > 0
             if more.any():
-                out.append({"dest": 0, "batch": r["batch"], "tokens": t[more].tobytes(), "owners": o[more].tobytes(), "shared": c[more].tobytes()})
+                out.append({"dest": 0, "batch": r["batch"], "tokens": _planes(t[more]), "owners": o[more].tobytes(), "shared": c[more].tobytes()})
     return pa.Table.from_pylist(out, schema=_POSTING_SCHEMA)
 
 
@@ -220,12 +233,12 @@ def _regrouped(table: pa.Table) -> pa.Table:
     me, rows = own_rows[0], [r for r in rows if r["nodes"] is None]
     m = len(me["nodes"]) // 12
     names, sizes = np.frombuffer(me["nodes"][: 8 * m], "<i8"), np.frombuffer(me["nodes"][8 * m :], "<u4").astype(np.int64)
-    token = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r["tokens"], np.uint64) for r in rows]])
+    token = np.concatenate([np.empty(0, np.uint64), *[_from_planes(r["tokens"]) for r in rows]])
     own = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(r["owners"], "<u2").astype(np.int64) for r in rows]])
     level = np.concatenate([np.empty(0, np.uint8), *[np.frombuffer(r["shared"], np.uint8) for r in rows]])
     many = own == SEVERAL
     if many.any():
-        mine, times = np.frombuffer(me["tokens"], np.uint64), np.frombuffer(me["counts"], "<u4").astype(np.int64)
+        mine, times = _from_planes(me["tokens"]), np.frombuffer(me["counts"], "<u4").astype(np.int64)
         owners, first = np.frombuffer(me["owners"], "<u2").astype(np.int64), np.concatenate(([0], np.cumsum(times)[:-1]))
         at = np.searchsorted(mine, token[many])
         each = times[at]
