@@ -48,7 +48,7 @@ WORDS = 5
 #: Similarity as a ratio of whole numbers.
 ABOVE, UNDER = 4, 5
 #: Nodes that hold a token, as a power of two, from which its class is 2 and 3.
-PAIRS_FROM, TRIPLES_FROM = 5, 10
+PAIRS_FROM, TRIPLES_FROM = 5, 16
 #: Lists of up to so many nodes are taken in full at once.
 SHORT_LIST = 32
 #: Further nodes that a long list is held against before it is taken in full.
@@ -60,7 +60,7 @@ SKETCH = 8
 #: Bytes of text, and documents, whose tokens are held at once.
 RUN_BYTES, RUN_DOCS = 3 << 20, 60_000
 #: Bytes of text whose tokens make up a part of the hash range.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 #: A token is a 56-bit hash.
 SPARE = np.uint64(8)
 #: Owner of a token that several nodes of its batch hold.
@@ -296,9 +296,13 @@ def schemes(n: int) -> list[int]:
     return [b, b - 1] if b and need(n) < 1 << b else [b]
 
 
-def groups(b: int) -> int:
-    """Groups of a frequent class for sizes from 2 ** b: the units that the groups cost leave enough for any set."""
-    return max(1, (1 << b) // 5)
+def groups(b: int, k: int) -> int:
+    """Groups of class k for sizes from 2 ** b.
+
+    As many as can be, for small groups have the fewest combinations a unit; a
+    group costs k - 1 units, 0.8 * 2 ** b in all, less than any such set may lose.
+    """
+    return max(1, (2 << b) // 5 if k == 2 else (1 << b) // 5)
 
 
 def index_keys(t: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
@@ -309,12 +313,12 @@ def index_keys(t: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
     keys, left = [_mixed([rare], 1)], left - len(rare)
     many, grade = t[often], np.where(level[often] >= TRIPLES_FROM, 3, 2)
     for b in schemes(n) if left > 0 else []:
-        g = grade * groups(b) + (mix64(many ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(40)).astype(np.int64) % groups(b)
+        g = (grade << 48) + (mix64(many ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(24)).astype(np.int64) % np.where(grade == 2, groups(b, 2), groups(b, 3))
         order = np.lexsort((many, g))
         s, g = many[order], g[order]
         at, units = _starts(g), left
         for lo, hi in zip(at, [*at[1:], len(g)]):
-            k = int(g[lo]) // groups(b)
+            k = int(g[lo]) >> 48
             l = min(hi - lo, units + k - 1)
             if l >= k:
                 pick = s[lo : lo + l][_chosen(l, k)]
@@ -492,7 +496,8 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     of = written(of.select("node", "rep"), "jaccard-equal")
     single = able.join(of.filter("node = rep").select("node"), "node", "left_semi")
     single = written(single.select("node", "th", "sets", "n", "tokens"), "jaccard-single")
-    nodes = _counted(_from_nodes(single, shuffle_width(spark)), "jaccard-able").filter(F.col("tokens").isNotNull())
+    held = single.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    nodes = _counted(_from_nodes(single, max(shuffle_width(spark), -(-8 * held // PART_BYTES))), "jaccard-able").filter(F.col("tokens").isNotNull())
     drop_written(single)
     edges = linked(nodes)
     release(spark)

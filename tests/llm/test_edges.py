@@ -220,7 +220,7 @@ def test_pairs_lose_no_link_whatever_the_classes():
     rng = np.random.default_rng(5)
     pool = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
     linked = 0
-    for top in (3, 8, 14):
+    for top in (3, 8, 20):
         level = rng.integers(1, top, len(pool)).astype(np.uint8)
 
         def keys(t, n):
