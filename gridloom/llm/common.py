@@ -33,6 +33,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     unset (a single machine) a local one is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{(base or LOCAL_SCRATCH).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)

@@ -54,7 +54,7 @@ SHORT_LIST = 32
 #: Further nodes that a long list is held against before it is taken in full.
 PIVOTS = 16
 #: Earlier keys of a node that are looked at to see a pair's first list.
-WINDOW = 8
+WINDOW = 16
 #: 64-bit words of a sketch.
 SKETCH = 8
 #: Bytes of text, and documents, whose tokens are held at once.

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, read_table, written
+from .common import mix64, read_table, shuffle_width, written
 
 HELD_OUT_MOD, HELD_OUT_REST = 3, 1
 GRAM = 4
@@ -111,12 +111,6 @@ def _parts(texts: list[str | None]):
         yield at, held, 0, False
 
 
-def _pieces(texts: list[str | None]):
-    """(indices, texts, gaps): parts with the gaps up to which :func:`grams` needs no more than the part itself."""
-    for at, part, lead, cut in _parts(texts):
-        yield at, part, 1 if lead or cut else GRAM - 2
-
-
 def _symbols(text: str) -> str:
     """Letters, and one blank after each word."""
     return "".join(c if c.isalpha() else " " for i, c in enumerate(text) if c.isalpha() or (i and text[i - 1].isalpha()))
@@ -213,6 +207,9 @@ def train_filters(docs: DataFrame) -> Filters | None:
     top = (
         rated.join(best, "gram")
         .filter(F.col("rate") >= RATE_SHARE * F.col("best"))
+        .withColumn("b", F.pmod(F.xxhash64("gram"), F.lit(shuffle_width(docs.sparkSession))).cast("int"))
+        .withColumn("k", F.row_number().over(Window.partitionBy("lang", "b").orderBy(F.desc("n"), "gram")))
+        .filter(F.col("k") <= TOP_GRAMS)  # of each bucket first: a language is no single task's work
         .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
         .filter(F.col("k") <= TOP_GRAMS)
         .select("lang", "gram", "rate")

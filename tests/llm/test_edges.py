@@ -126,15 +126,24 @@ def test_languages(docs, none):
 
 def test_long_texts_have_the_n_grams_of_the_whole():
     text = " ".join(WORDS) * 40
-    whole = sorted(language_id.grams([text], 1)[0].tolist())
+    whole = sorted(language_id.grams([text])[0].tolist())
     old, language_id.CHUNK = language_id.CHUNK, 700
     try:
-        parts = sorted(h for _, p, gaps in language_id._pieces([text]) for h in language_id.grams(p, gaps)[0].tolist())
+        parts = sorted(h for _, p, lead, cut in language_id._parts([text]) for h in language_id.grams(p, lead=lead, cut=cut)[0].tolist())
     finally:
         language_id.CHUNK = old
     assert whole == parts
 
 
+def test_n_grams_over_a_real_cut():
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, k)) for k in rng.integers(1, 9, 5000)]
+    text = " ".join(words[i] for i in rng.integers(0, 5000, 180_000))
+    for size in (399_990, 400_010, len(text)):
+        got = sum(len(language_id.grams(p, lead=lead, cut=cut)[0]) for _, p, lead, cut in language_id._parts([text[:size]]))
+        assert got == len(language_id.grams([text[:size]])[0])
+
+
 def test_n_grams_do_not_depend_on_length(spark):
     old, language_id.CHUNK = language_id.CHUNK, 50
     try:
@@ -300,6 +309,28 @@ def test_packing(docs, none):
     assert rows(packing.pack(none, path)) == []
 
 
+def test_a_million_blanks_are_encoded_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in (" " * 1_000_000, "a" + "\n" * 700_000 + " b", "x" * 300_000):
+        assert packing.encode(text, path) == tok.encode(text, add_special_tokens=False).ids
+    got = rows(packing.pack(spark.createDataFrame([(1, " " * 1_000_000)], "doc_id long, text string"), path))
+    assert sum(r["length"] for r in got) == 1_000_001
+
+
+def test_completions_waste_least_by_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        pieces = sorted(rng.integers(1, 40, 9).tolist())
+        counts = {n: pieces.count(n) for n in pieces}
+        first, rest = pieces[-1], pieces[:-1]
+        sums = {sum(x for i, x in enumerate(rest) if m >> i & 1) for m in range(1 << len(rest))}
+        for room in (0, 7, 33, 90):
+            for large in (True, False):
+                got = packing.completion(packing.Shelf(counts), first, room, large)
+                assert sum(got) == max(x for x in sums if x <= room) and all(got.count(n) <= rest.count(n) for n in got)
+
+
 def test_plans_are_near_the_bound():
     rng = np.random.default_rng(1)
     for _ in range(5):
