@@ -22,21 +22,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose key is in ``rejected`` (uid)."""
-    rejected = written(rejected.select("uid").distinct(), "pipeline-rejected")
-    hit, rest = key_split(_keyed(docs), rejected)
-    return rest.union(hit.join(rejected, "uid", "left_anti")).select("row.*")
+    """``docs`` less the rows whose key (uid) and id are in ``rejected`` (doc_id, uid)."""
+    rejected = written(rejected.select(F.col("doc_id").cast("long").alias("gone_id"), "uid").distinct(), "pipeline-rejected")
+    hit, rest = key_split(_keyed(docs), rejected.select("uid"))
+    gone = rejected.withColumnRenamed("uid", "gone_uid")
+    same = (F.col("uid") == F.col("gone_uid")) & F.col("row.doc_id").cast("long").eqNullSafe(F.col("gone_id"))
+    return rest.union(hit.join(gone, same, "left_anti")).select("row.*")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; rows of equal id and text share their fate."""
     scores = quality_classifier.quality_scores(docs, read_table(spark, sf_dir, "labels"))
-    return _without(docs, scores.filter("predicted = 0").select(F.col("row_key").alias("uid")))
+    return _without(docs, scores.filter("predicted = 0").select("doc_id", F.col("row_key").alias("uid")))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep to the base rules and to their group's thresholds."""
-    return _without(docs, quality_rules.quality_rules(docs).filter("NOT kept").select(F.col("row_key").alias("uid")))
+    return _without(docs, quality_rules.quality_rules(docs).filter("NOT kept").select("doc_id", F.col("row_key").alias("uid")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Repeated rows, equal in id and text, are one document: one of them stays.
     """
     groups = jaccard_join.near_duplicate_groups(docs)
-    out = _without(docs, groups.filter("doc_id <> component_id").select(F.col("row_key").alias("uid")))
+    out = _without(docs, groups.filter("doc_id <> component_id").select("doc_id", F.col("row_key").alias("uid")))
     again = written(docs.filter("doc_id IS NOT NULL").select(row_key().alias("uid")).groupBy("uid").count().filter("count > 1").select("uid"), "pipeline-repeated")
     if again.isEmpty():
         return out
