@@ -6,6 +6,7 @@ date, datetime, time; one payload is set.  Empty cells have no row.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -85,9 +86,26 @@ def numeric_measure(kind: Column, s: Column) -> Column:
 
 def keyword_hit(label: Column, keywords: tuple[str, ...] = C.SKIP_KEYWORDS) -> Column:
     """One-letter keywords must be the label, longer ones begin it, whatever the case."""
-    low = F.lower(strip(label))
-    tests = [low == k.lower() if len(k) == 1 else low.startswith(k.lower()) for k in keywords]
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False)) if tests else F.lit(False)
+    if not keywords:
+        return F.lit(False)
+    quoted = [re.escape(k.lower()) + ("$" if len(k) == 1 else "") for k in keywords]
+    return F.coalesce(F.lower(strip(label)).rlike("^(" + "|".join(quoted) + ")"), F.lit(False))
+
+
+def thin_row(filled: Column, width: Column) -> Column:
+    """A row too empty for data: below the least density, or one lone cell in three columns or more."""
+    return (filled / width < C.LOW_DENSITY) | ((filled == 1) & (width >= 3))
+
+
+def wide_rescue(filled: Column, width: Column, axis_value: Column) -> Column:
+    """Sparse rows of wide tables stay data where their first column holds a point in time."""
+    return (width >= C.WIDE_LEAST_COLUMNS) & (filled > 0) & F.coalesce(axis_value, F.lit(False))
+
+
+def axis_rescue(axis_value: Column, strict_value: Column, head_axis: Column, head_filled: Column) -> Column:
+    """Thin rows stay data under a header that names a time axis, or under a blank one if their value proves it."""
+    no = lambda x: F.coalesce(x, F.lit(False))
+    return no(axis_value) & (no(head_axis) | (head_filled.isNull() & no(strict_value)))
 
 
 def value_length(kind: Column, s: Column, l: Column, d: Column) -> Column:  # noqa: E741
@@ -111,6 +129,22 @@ def a1_span(left: Column, right: Column) -> Column:
     return F.when(left.isNotNull() & right.isNotNull(), F.concat(column_letters(left), F.lit(":"), column_letters(right)))
 
 
+def base0(row: Column) -> Column:
+    """A row counted from 0; rows are numbered from 1, anything less is an error."""
+    return F.when(row >= 1, row - 1).otherwise(F.when(row.isNotNull(), F.raise_error(F.concat(F.lit("rows are numbered from 1: "), row.cast("string"))).cast("int")))
+
+
+def row_count(start: Column, end: Column) -> Column:
+    """Rows of a region, null where it is unresolved."""
+    return F.greatest(end - start + 1, F.lit(0))
+
+
+def table_span(left: Column, right: Column, max_col: Column) -> tuple[Column, Column]:
+    """Columns of a table: all where a bound is missing, at least one."""
+    lo = F.coalesce(left, F.lit(1))
+    return lo, F.greatest(F.coalesce(right, max_col), lo)
+
+
 def flatten_levels(levels: Column) -> Column:
     """One name from header levels: missing, empty and unnamed ones are left out."""
     return F.array_join(F.filter(levels, lambda x: x.isNotNull() & (x != "") & ~x.rlike(C.UNNAMED)), " / ")

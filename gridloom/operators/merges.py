@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def positioned(merges: DataFrame, keys: list[str]) -> DataFrame:
+    """Merges with their position in sheet order."""
+    return merges.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("min_row", "min_col", "max_row", "max_col")))
+
+
 def overlapping(merges: DataFrame, bands: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
     """Merges by the bands whose rows they touch; ``bands``: keys, start_row, end_row, kept columns."""
     return merges.join(bands.select(*keys, "start_row", "end_row", *kept), keys).filter((F.col("max_row") >= F.col("start_row")) & (F.col("min_row") <= F.col("end_row")))
@@ -33,6 +38,25 @@ def vertical_anchors(merges: DataFrame, headers: DataFrame, keys: list[str], col
     return hit.groupBy(*keys, F.col(col).alias("col")).agg(F.max("min_row").alias("anchor_row"))
 
 
+def level_labels(cells: DataFrame, merges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col, label) of header levels: a merge's label stands over all its columns, on its first row only.
+
+    ``cells``: (keys, row, col, label) of the levels; merges: (keys, min_row,
+    min_col, max_row, max_col).  A label doesn't run on past its merge's edge.
+    """
+    covered = merges.select(*keys, "min_row", "min_col", F.explode(F.sequence("min_row", "max_row")).alias("row"), "max_col")
+    covered = covered.select(*keys, "min_row", "min_col", "row", F.explode(F.sequence("min_col", "max_col")).alias("col"))
+    anchor = cells.select(*keys, F.col("row").alias("min_row"), F.col("col").alias("min_col"), "label")
+    spread = covered.filter("row = min_row").join(anchor, [*keys, "min_row", "min_col"]).select(*keys, "row", "col", "label")
+    return cells.select(*keys, "row", "col", "label").join(covered.select(*keys, "row", "col").distinct(), [*keys, "row", "col"], "left_anti").union(spread)
+
+
+def filled_header(real: DataFrame, merges: DataFrame, keys: list[str], header: str = "header_row") -> DataFrame:
+    """(keys, col) of a header's filled cells, with those that a merge over the header row covers."""
+    over = merges.filter((F.col("min_row") <= F.col(header)) & (F.col("max_row") >= F.col(header)))
+    return real.select(*keys, "col").union(over.select(*keys, F.explode(F.sequence("min_col", "max_col")).alias("col")))
+
+
 def anchored(anchors: DataFrame, bands: DataFrame, keys: list[str], anchor: str = "anchor") -> DataFrame:
     """Anchors with the band that holds them (null: none); ``applies`` marks the lowest of a band."""
     inside = (F.col(anchor) >= F.col("start_row")) & (F.col(anchor) <= F.col("end_row"))

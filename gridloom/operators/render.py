@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,3 +38,25 @@ def json_lines(df: DataFrame, keys: list[str]) -> DataFrame:
 
     record = F.to_json(F.struct(*[value(f).alias(f.name) for f in df.schema]), {"ignoreNullFields": "false"})
     return df.select(*[F.col(k) for k in keys], record.alias("record"))
+
+
+def markdown_table(df: DataFrame, order: list[str], max_rows: int = 20) -> DataFrame:
+    """(n, line): a table's header, separator, first rows and, where rows are left out, a footer with their number."""
+    shown = df.orderBy(*order).limit(max_rows)
+    row = F.row_number().over(Window.orderBy(*order))  # of at most ``max_rows`` rows
+    body = shown.withColumn("n", row.cast("long") + 1)
+    body = body.select("n", F.concat(F.lit("| "), F.concat_ws(" | ", *[X.markdown_cell(as_text(f.name, f.dataType)) for f in df.schema]), F.lit(" |")).alias("line"))
+    cell = lambda x: x.replace("|", "\\|").replace("\r\n", " ").replace("\n", " ").replace("\r", " ")
+    head = [(0, "| " + " | ".join(map(cell, df.columns)) + " |"), (1, "| " + " | ".join("---" for _ in df.columns) + " |")]
+    top = df.sparkSession.createDataFrame(head, "n long, line string")
+    left = df.agg((F.count("*") - max_rows).alias("left")).filter("left > 0").select((F.lit(max_rows) + 2).cast("long").alias("n"), F.concat(F.lit("… "), F.col("left"), F.lit(" more rows")).alias("line"))
+    return top.union(body).union(left)
+
+
+def json_table(df: DataFrame, order: list[str], max_rows: int | None = None) -> DataFrame:
+    """One row (row_count, records): the number of all rows, and the first ones as a JSON array."""
+    numbered = json_lines(df, order)
+    if max_rows is not None:
+        numbered = numbered.orderBy(*order).limit(max_rows)
+    records = numbered.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "record"))), lambda x: x["record"]), ","), F.lit("]")).alias("records"))
+    return df.agg(F.count("*").alias("row_count")).crossJoin(records)  # one row each

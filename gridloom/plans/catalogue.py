@@ -341,13 +341,23 @@ def vertical_anchor(spark, d):
     return merges.vertical_anchors(m, h, ["user_id"])
 
 
-@query()
+LISTED = "li as (select n_name, row_number() over(order by p, k) as position from (select n_name, 1 p, n_nationkey k from nation union all select r_name, 2, r_regionkey from region union all select n_name || '.1', 3, n_nationkey from nation where n_nationkey%5=0 union all select n_name, 4, n_nationkey from nation union all select n_name || '.1', 5, n_nationkey from nation where n_nationkey%5=1))"
+
+
+@query(
+    f"with recursive {LISTED}, f(position, name, unique_name, used) as (select 0::bigint, '', '', []::varchar[] union all"
+    " select position, name, u, list_append(used, u) from (select li.position, li.n_name as name, f.used, case when list_contains(f.used, li.n_name) then list_filter(list_transform(range(1, len(f.used) + 2), lambda k: li.n_name || '.' || k), lambda c: not list_contains(f.used, c))[1] else li.n_name end u from f join li on li.position = f.position + 1))"
+    " select position, name, unique_name from f where position > 0"
+)
 def dedupe_names(spark, d):
-    """Names of all nations and regions, each nation twice, made unique."""
-    nation, region = _t(spark, d, "nation"), _t(spark, d, "region")
-    listed = [r[0] for r in nation.select("n_name").orderBy("n_nationkey").collect()]  # fixed tables of 25 and 5 rows
-    listed += [r[0] for r in region.select("r_name").orderBy("r_regionkey").collect()] + listed
-    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(listed, names.dedupe(listed)))], "position int, name string, unique_name string")
+    """Names of all nations and regions, nations twice, some with a number already, made unique in order."""
+    nation = _t(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("k"))
+    region = _t(spark, d, "region").select("r_name", F.col("r_regionkey").cast("long"))
+    part = lambda p, df: df.select(F.lit(p).alias("p"), F.col("k"), F.col("name"))
+    dotted = nation.withColumn("name", F.concat("name", F.lit(".1")))
+    listed = part(1, nation).union(part(2, region.toDF("name", "k"))).union(part(3, dotted.filter("k % 5 = 0"))).union(part(4, nation)).union(part(5, dotted.filter("k % 5 = 1")))
+    held = listed.agg(F.array_sort(F.collect_list(F.struct("p", "k", "name"))).alias("x")).select(F.transform("x", lambda e: e["name"]).alias("x"))
+    return held.select(F.posexplode(F.arrays_zip(F.col("x").alias("name"), names.deduped(F.col("x")).alias("unique_name"))).alias("at", "e")).select((F.col("at") + 1).cast("long").alias("position"), "e.name", "e.unique_name")
 
 
 @query("select n_nationkey, concat_ws(' / ', r_name, case when n_nationkey%3=0 then null else n_name end) as name from nation join region on n_regionkey=r_regionkey")

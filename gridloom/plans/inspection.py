@@ -110,8 +110,7 @@ def inspect_relations(cells: DataFrame, sheets: DataFrame, merges: DataFrame, op
     headed = heads.filter("header_row IS NOT NULL")
     head_cells = filled.join(headed.select(*BLOCK, "header_row"), SHEET).filter("row = header_row")
     real = head_cells.select(*BLOCK, "col", "kind", "s", "l", "d", "b", "ts")
-    over = merges.join(headed.select(*BLOCK, "header_row"), SHEET).filter("min_row <= header_row AND max_row >= header_row").select(*BLOCK, F.explode(F.sequence("min_col", "max_col")).alias("col"))
-    run = bands.longest_run(real.select(*BLOCK, "col").union(over), BLOCK)
+    run = bands.longest_run(M.filled_header(real, merges.join(headed.select(*BLOCK, "header_row"), SHEET), BLOCK), BLOCK)
     lost = (F.col("left_col") == F.col("right_col")) & F.col("gapped")
     run = run.select(*BLOCK, F.when(~lost, F.col("left_col")).alias("run_left"), F.when(~lost, F.col("right_col")).alias("right_col"), lost.alias("narrowed"))
     spans = settled(headed.join(run, BLOCK, "left"), "header-runs")
@@ -139,9 +138,8 @@ def inspect_relations(cells: DataFrame, sheets: DataFrame, merges: DataFrame, op
     width = F.col("right_col") - F.col("left_col") + 1
     n = F.coalesce("filled", F.lit(0))
     lk, ls, ll, ld = (F.col(f"at_left.{c}") for c in ("kind", "s", "l", "d"))
-    rescue = (width >= C.WIDE_LEAST_COLUMNS) & (n > 0) & F.coalesce(X.axis_value_gate(lk, ls, ll, ld), F.lit(False))
-    thin = ~rescue & ((n / width < C.LOW_DENSITY) | ((n == 1) & (width >= 3)))
-    axis_row = F.coalesce(X.axis_value_rows(lk, ls, ll, ld), F.lit(False)) & (F.coalesce("head_axis", F.lit(False)) | (F.col("head_filled").isNull() & F.coalesce(X.axis_value_strict(lk, ls), F.lit(False))))
+    thin = ~X.wide_rescue(n, width, X.axis_value_gate(lk, ls, ll, ld)) & X.thin_row(n, width)
+    axis_row = X.axis_rescue(X.axis_value_rows(lk, ls, ll, ld), X.axis_value_strict(lk, ls), F.col("head_axis"), F.col("head_filled"))
     label = F.when(F.col("lead.kind") == "string", X.strip(F.col("lead.s")))
     cls = F.when(n == 0, "B").when(X.keyword_hit(label, options.skip_keywords) | (thin & ~axis_row), "S").otherwise("D")
     grouped = merges.join(headed.select(*BLOCK, "header_row"), SHEET).filter("min_row > header_row AND max_row > min_row").select(*BLOCK, F.explode(F.sequence("min_row", "max_row")).alias("row")).distinct().withColumn("merged", F.lit(True))

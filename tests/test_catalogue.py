@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from gridloom.plans import catalogue
+from gridloom.plans import catalogue_cells as catalogue
 
 
 def plain(v):

@@ -111,7 +111,9 @@ def test_column_letters(spark):
 
 
 def test_names():
-    assert names.dedupe(["a", "a", "a.1", "a"]) == ["a", "a.2", "a.1", "a.3"]
+    for given, want in ((["a", "a", "a.1", "a"], ["a", "a.1", "a.1.1", "a.2"]), (["a", "a.1", "a"], ["a", "a.1", "a.2"]), ([], []), (["", ""], ["", ".1"])):
+        assert names.dedupe(given) == want
+        assert spark.range(1).select(names.deduped(F.lit(given).cast("array<string>"))).first()[0] == want
     assert names.column_names(["a", None, ""]) == ["a", "Unnamed: 1", "Unnamed: 2"]
     assert names.column_names([None, None], True) == ["col_0", "col_1"]
 
