@@ -9,8 +9,13 @@ from pyspark.sql import types as T
 from ..functions import cells as X
 
 
+def _of(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def as_text(name: str, kind: T.DataType) -> Column:
-    c = F.col(name)
+    c = _of(name)
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return X.iso_timestamp(c)
     if isinstance(kind, T.BinaryType):
@@ -26,28 +31,30 @@ def markdown_lines(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.concat(F.lit("| "), F.concat_ws(" | ", *items), F.lit(" |")).alias("line"))
 
 
-def json_lines(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, record): each row as an object, columns in order, missing values kept as null."""
+def json_lines(df: DataFrame, keys: list[str], fields: list[str] | None = None) -> DataFrame:
+    """(keys, record): each row's fields, all by default, as an object in order; missing values are kept as null."""
 
     def value(f: T.StructField) -> Column:
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.BinaryType, T.DecimalType, T.DayTimeIntervalType)):
             return as_text(f.name, f.dataType)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            return F.when(~F.isnan(f.name), F.col(f.name))
-        return F.col(f.name)
+            return F.when(~F.isnan(_of(f.name)), _of(f.name))
+        return _of(f.name)
 
-    record = F.to_json(F.struct(*[value(f).alias(f.name) for f in df.schema]), {"ignoreNullFields": "false"})
-    return df.select(*[F.col(k) for k in keys], record.alias("record"))
+    named = [df.schema[n] for n in (df.columns if fields is None else fields)]
+    record = F.to_json(F.struct(*[value(f).alias(f.name) for f in named]), {"ignoreNullFields": "false"}) if named else F.lit("{}")
+    return df.select(*[_of(k) for k in keys], record.alias("record"))
 
 
-def markdown_table(df: DataFrame, order: list[str], max_rows: int = 20) -> DataFrame:
+def markdown_table(df: DataFrame, order: list[str], max_rows: int = 20, fields: list[str] | None = None) -> DataFrame:
     """(n, line): a table's header, separator, first rows and, where rows are left out, a footer with their number."""
-    shown = df.orderBy(*order).limit(max_rows)
-    row = F.row_number().over(Window.orderBy(*order))  # of at most ``max_rows`` rows
-    body = shown.withColumn("n", row.cast("long") + 1)
-    body = body.select("n", F.concat(F.lit("| "), F.concat_ws(" | ", *[X.markdown_cell(as_text(f.name, f.dataType)) for f in df.schema]), F.lit(" |")).alias("line"))
+    fields = df.columns if fields is None else fields
+    keys = [_of(k) for k in order]
+    cells = [X.markdown_cell(as_text(n, df.schema[n].dataType)) for n in fields]
+    row = F.row_number().over(Window.orderBy(*keys))  # of at most ``max_rows`` rows
+    body = df.orderBy(*keys).limit(max_rows).select((row.cast("long") + 1).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
     cell = lambda x: x.replace("|", "\\|").replace("\r\n", " ").replace("\n", " ").replace("\r", " ")
-    head = [(0, "| " + " | ".join(map(cell, df.columns)) + " |"), (1, "| " + " | ".join("---" for _ in df.columns) + " |")]
+    head = [(0, "| " + " | ".join(map(cell, fields)) + " |"), (1, "| " + " | ".join("---" for _ in fields) + " |")]
     top = df.sparkSession.createDataFrame(head, "n long, line string")
     left = df.agg((F.count("*") - max_rows).alias("left")).filter("left > 0").select((F.lit(max_rows) + 2).cast("long").alias("n"), F.concat(F.lit("… "), F.col("left"), F.lit(" more rows")).alias("line"))
     return top.union(body).union(left)

@@ -7,6 +7,7 @@ with one band is judged as a whole sheet, others band by band.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +33,7 @@ class Inspection:
     blocks: DataFrame
     columns: DataFrame
     warnings: DataFrame
+    close: Callable[[], object] | None = None
 
 
 def _overrides(spark: SparkSession, options: InspectionOptions) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +45,26 @@ def _overrides(spark: SparkSession, options: InspectionOptions) -> tuple[DataFra
     )
 
 
+def _resolved(asked: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Overrides of blocks by band, one a band, and those left out with the reason (file, sheet_idx, band_no, seq, message)."""
+    both = asked.join(found.select(*BLOCK, "start_row", "end_row").withColumnRenamed("band_no", "in_band"), SHEET).filter("anchor BETWEEN start_row AND end_row")
+    placed = asked.join(both.select(*SHEET, "anchor", F.col("in_band").alias("band_no"), "start_row", "end_row"), [*SHEET, "anchor"], "left")
+    says = F.col("b_header_set") | (F.size("b_add") > 0)
+    inside = F.col("b_header").isNull() | F.col("b_header").between(F.col("start_row"), F.col("end_row"))
+    good = F.col("band_no").isNotNull() & says & inside
+    first = F.min(F.when(good, F.col("anchor"))).over(Window.partitionBy(*SHEET, "band_no"))
+    placed = placed.withColumn("good", good).withColumn("first", first)
+    why = (
+        F.when(F.col("band_no").isNull(), "lies in no table band")
+        .when(F.col("first") < F.col("anchor"), F.concat(F.lit("is in the band of row "), F.col("first").cast("string")))
+        .when(~says, "asks for nothing")
+        .when(~inside, F.concat(F.lit("gives header row "), F.col("b_header").cast("string"), F.lit(" outside its band")))
+    )
+    message = F.concat(F.lit("sheet '"), F.col("sheet"), F.lit("': block override at row "), F.col("anchor").cast("string"), F.lit(" "), why, F.lit("; ignored"))
+    ignored = placed.withColumn("message", message).filter("message IS NOT NULL").select(*SHEET, F.coalesce("band_no", F.lit(0)).alias("band_no"), F.col("anchor").alias("seq"), "message")
+    return placed.filter("good AND anchor = first"), ignored
+
+
 def _length() -> Column:
     return X.value_length(F.col("kind"), F.col("s"), F.col("l"), F.col("d"))
 
@@ -71,8 +93,9 @@ def inspect_relations(cells: DataFrame, sheets: DataFrame, merges: DataFrame, op
     found = bands.band_extents(rows, SHEET)
     per_sheet = Window.partitionBy(*SHEET)
     found = found.withColumn("n_bands", F.count("*").over(per_sheet)).join(sheets.select(*SHEET, "sheet", "max_row", "max_col", "o_header_set", "o_header", "o_add", "o_remove"), SHEET)
-    hits = M.anchored(o_blocks, found.select("sheet", "band_no", "start_row", "end_row"), ["sheet"]).filter("applies")
-    found = found.join(F.broadcast(hits.select("sheet", "band_no", "b_header_set", "b_header", "b_add")), ["sheet", "band_no"], "left")
+    asked = sheets.filter("is_tabular").select(*SHEET, "sheet").join(F.broadcast(o_blocks), "sheet")
+    hits, ignored = _resolved(asked, found)
+    found = found.join(F.broadcast(hits.select(*BLOCK, "b_header_set", "b_header", "b_add")), BLOCK, "left")
     alone = F.col("n_bands") == 1
     found = (
         found.withColumn("w_start", F.when(alone, 1).otherwise(F.col("start_row")))
@@ -165,7 +188,7 @@ def inspect_relations(cells: DataFrame, sheets: DataFrame, merges: DataFrame, op
     levels = _levels(merges, blocks)
     blocks = settled(blocks.join(levels, BLOCK, "left").withColumn("top_row", F.coalesce("top_row", "header_row")), "blocks")
     columns = settled(_columns(cells, merges, blocks, real), "columns")
-    return Inspection(cells, merges, sheets, blocks, columns, _warnings(blocks))
+    return Inspection(cells, merges, sheets, blocks, columns, _warnings(blocks).union(ignored))
 
 
 def _extended_left(under: DataFrame, real: DataFrame, spans: DataFrame) -> DataFrame:
@@ -230,10 +253,17 @@ def _warnings(blocks: DataFrame) -> DataFrame:
     """(file, sheet_idx, band_no, seq, message), in a fixed order."""
     sheet = F.col("sheet")
     rows = F.concat(F.lit("rows "), F.col("start_row").cast("string"), F.lit("-"), F.col("end_row").cast("string"))
+    both = F.coalesce("o_header_set", F.lit(False)) & F.coalesce("b_header_set", F.lit(False))
+    placed = F.max((F.col("o_header").isNull() | F.col("o_header").between(F.col("start_row"), F.col("end_row"))).cast("int")).over(Window.partitionBy(*SHEET)) == 1
+    given = F.array_union(F.coalesce("o_add", F.array().cast("array<int>")), F.coalesce("b_add", F.array().cast("array<int>")))
+    above = F.filter(given, lambda r: r.between(F.col("start_row"), F.col("end_row")) & (r < F.coalesce("data_start", F.col("header_row") + 1)))
     said = F.array(
         F.when(F.col("band_no") > 1, F.when(F.col("is_table"), F.concat(F.lit("sheet '"), sheet, F.lit("': table block at "), rows, F.lit(" extracted as '"), sheet, F.lit("!T"), F.col("table_no").cast("string"), F.lit("'"))).otherwise(F.concat(F.lit("sheet '"), sheet, F.lit("': additional table block suspected at "), rows))),
         F.when(F.coalesce("clamped", F.lit(False)), F.concat(F.lit("sheet '"), sheet, F.lit("': merged rows at the end left out, data ends at row "), F.col("data_end").cast("string"))),
         F.when(F.coalesce("unreliable", F.lit(False)), F.concat(F.lit("sheet '"), sheet, F.lit("': no data row within the header's columns; column bounds dropped"))),
+        F.when(both & (F.col("n_bands") > 1) & F.col("o_header").between(F.col("start_row"), F.col("end_row")), F.concat(F.lit("sheet '"), sheet, F.lit("': header rows given for the sheet and for the block at "), rows, F.lit("; the block's counts"))),
+        F.when((F.col("band_no") == 1) & (F.col("n_bands") > 1) & F.coalesce("o_header_set", F.lit(False)) & ~F.col("_placed"), F.concat(F.lit("sheet '"), sheet, F.lit("': given header row "), F.col("o_header").cast("string"), F.lit(" lies in no table band; ignored"))),
+        F.when(F.size(F.filter(above, lambda r: r.isNotNull())) > 0, F.concat(F.lit("sheet '"), sheet, F.lit("': rows to skip at or above the header or the data are ignored: "), F.array_join(above, ", "))),
         F.when((F.col("provenance") == "default"), F.concat(F.lit("sheet '"), sheet, F.lit("': no header found at "), rows, F.lit("; one may be given"))),
     )
-    return blocks.select(*BLOCK, F.posexplode(said).alias("seq", "message")).filter("message IS NOT NULL")
+    return blocks.withColumn("_placed", placed).select(*BLOCK, said.alias("said")).select(*BLOCK, F.posexplode("said").alias("seq", "message")).filter("message IS NOT NULL")

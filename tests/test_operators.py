@@ -110,7 +110,7 @@ def test_column_letters(spark):
     assert {r["n"]: r["l"] for r in df.select("n", X.column_letters(F.col("n")).alias("l")).collect()} == want
 
 
-def test_names():
+def test_names(spark):
     for given, want in ((["a", "a", "a.1", "a"], ["a", "a.1", "a.1.1", "a.2"]), (["a", "a.1", "a"], ["a", "a.1", "a.2"]), ([], []), (["", ""], ["", ".1"])):
         assert names.dedupe(given) == want
         assert spark.range(1).select(names.deduped(F.lit(given).cast("array<string>"))).first()[0] == want

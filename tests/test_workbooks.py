@@ -5,10 +5,13 @@ import json
 
 import pytest
 
+import gridloom
+from gridloom import ReadPlan, read_plan_to_kwargs
 from gridloom import __main__ as cli
 from gridloom.errors import CorruptWorkbookError, EncryptedWorkbookError
 from gridloom.options import BlockOverride, InspectionOptions, SheetOverride
-from gridloom.plans.extraction import extract, inspect
+from gridloom.plans.extraction import extract, guarded, inspect
+from gridloom.sources import xlsx
 from gridloom.sources.xlsx_writer import Formula, Sheet, workbook_bytes
 
 BOOKS = {
@@ -21,6 +24,8 @@ BOOKS = {
     "interior": [Sheet("S", {1: ["n", "a", "b"], 2: ["x", 1, 2], 3: ["y", 3, 4], 5: ["z", 5, 6], 6: ["w", 7, 8]})],
     "margin": [Sheet("S", {1: [None, None, "n", "a", "b"], 2: ["note", None, "x", 1, 2], 3: [None, None, "y", 3, 4], 4: [None, None, "z", 5, 6], 5: ["note", None, "Subtotal", 9, 12], 6: [None, None, "w", 1, 1]})],
     "merged": [Sheet("S", {1: ["H", None, "C"], 2: ["a", "b", 1], 3: ["c", "d", 2], 4: ["e", "f", 3], 5: ["g", "h", 4], 6: ["i", "j", 5], 7: [None, "k", 6]}, ["A1:B1", "A6:A7"])],
+    "loose": [Sheet("S", {1: ["id", "amount", "when"], **{r: [r, r * 10 if r != 190 else "pending", dt.date(2020, 1, 1 + r % 28) if r != 150 else "soon"] for r in range(2, 202)}})],
+    "inner": [Sheet("S", {1: [None, None, "G1", None, "G2"], 2: [None, None, "a", "b", "c"], **{r: [None, None, r, r + 1, r + 2] for r in range(3, 9)}, 12: ["x"], 13: ["y"], 14: ["z"]}, ["C1:D1"])],
     "large": [Sheet("L", {1: ["id", "name", "amount", "flag"], **{r: [r, f"n{r}", r * 2, r % 2] for r in range(2, 1202)}, 1202: ["Total", None, 9, None]})],
 }
 
@@ -91,6 +96,84 @@ def test_overrides(spark, folder):
     assert r.tables[1].dataframe.count() == 4 and r.tables[1].header_provenance == "manual"
 
 
+def test_no_value_is_lost(spark, folder):
+    with extract(spark, str(folder / "loose.xlsx")) as r:
+        t = r.tables[0]
+        got = [tuple(x) for x in t.dataframe.collect()]
+        assert len(got) == 200 and not any(v is None for x in got for v in x)
+        assert got[188][1] == "pending" and got[148][2] == "soon" and got[0] == (2, "20", "2020-01-03 00:00:00")
+        assert sum("several types" in n for n in t.notes) == 2
+        assert t.read_plan.dtype_map == {"2": "datetime64[ns]"}
+
+
+def test_rows_without_values_are_rows(spark, folder):
+    o = InspectionOptions([SheetOverride("S", skip_rows_remove=[4])])
+    with extract(spark, str(folder / "interior.xlsx"), o) as r:
+        assert [x[0] for x in r.tables[0].dataframe.collect()] == ["x", "y", None, "z", "w"]
+    with extract(spark, str(folder / "interior.xlsx"), InspectionOptions([SheetOverride("S", header_row=None, skip_rows_remove=[4])])) as r:
+        assert [x[0] for x in r.tables[0].dataframe.collect()] == ["n", "x", "y", None, "z", "w"]
+
+
+def test_levels_within_chosen_columns_give_their_last_row(spark, folder):
+    with extract(spark, str(folder / "inner.xlsx")) as r:
+        t = r.tables[0]
+        assert t.dataframe.columns == ["a", "b", "c"] and t.read_plan.usecols == "C:E" and t.read_plan.header == 0
+        assert any("several levels" in w for w in r.warnings)
+        assert t.read_plan.skiprows[:2] == [0, 1][: len(t.read_plan.skiprows[:2])]
+
+
+def test_overrides_left_out_are_said(spark, folder):
+    o = InspectionOptions([SheetOverride("S", header_row=6, blocks=[BlockOverride(2, header_row=1), BlockOverride(3, header_row=2), BlockOverride(6, header_row=1), BlockOverride(8), BlockOverride(9, header_row=2)])])
+    said = [r["message"] for r in inspect(spark, str(folder / "stacked.xlsx"), o).warnings.collect()]
+    for row, why in ((3, "is in the band of row 2"), (6, "lies in no table band"), (8, "asks for nothing"), (9, "outside its band")):
+        assert sum(f"block override at row {row} " in m and why in m for m in said) == 1
+    assert sum("given header row 6 lies in no table band" in m for m in said) == 1
+
+
+@pytest.mark.parametrize("name", ["offset", "stacked", "levels", "margin", "interior"])
+def test_plans_load_what_extraction_loads(spark, folder, name):
+    path = str(folder / f"{name}.xlsx")
+    with extract(spark, path) as r:
+        for t in r.tables:
+            again = gridloom.load_dataframe(spark, path, t.read_plan)
+            assert again.columns == t.dataframe.columns
+            assert [tuple(x) for x in again.collect()] == [tuple(x) for x in t.dataframe.collect()]
+
+
+def test_plan_arguments():
+    plan = ReadPlan("S", 0, None, [0, 1], 5, {}, [])
+    assert read_plan_to_kwargs(plan) == {"sheet_name": "S", "engine": "openpyxl", "header": 0, "skiprows": [0, 1], "nrows": 5}
+    plan = ReadPlan("S", None, "B:D", [], None, {"0": "string"}, [])
+    assert read_plan_to_kwargs(plan) == {"sheet_name": "S", "engine": "openpyxl", "header": None, "skiprows": [], "nrows": None, "usecols": "B:D", "dtype": {0: "string"}}
+
+
+def test_closed_workbooks_cannot_be_read(spark, folder):
+    with gridloom.Workbooks(spark, str(folder / "types.xlsx")) as books:
+        assert books.relations()[0].count() == 16
+    books.close()
+    with pytest.raises(RuntimeError):
+        books.relations()
+
+
+def test_a_failing_step_is_a_warning():
+    said = []
+    assert guarded(said, "step", lambda: 1 / 0) is None and "ZeroDivisionError" in said[0]
+    assert guarded(said, "step", lambda x: x, 3) == 3
+    with pytest.raises(EncryptedWorkbookError):
+        guarded(said, "step", xlsx.check_container, bytes.fromhex("d0cf11e0a1b11ae1"), "x")
+
+
+def test_command_line(spark, folder, capsys):
+    assert cli.main([str(folder / "levels.xlsx"), "--max-rows", "2"]) == 0
+    out = capsys.readouterr().out
+    assert out.startswith("### S!T1\n\n| G1 / a | G1 / b |") and out.rstrip().endswith("\n\n… 2 more rows")
+    assert cli.main([str(folder / "levels.xlsx"), "--format", "json"]) == 0
+    out = capsys.readouterr().out
+    assert json.loads(out)["sheets"][0]["tables"][0]["records"][0]["G2 / c"] == 30 and out.startswith("{\n  ")
+    assert cli.main([str(folder / "none.xlsx")]) == 1 and "file not found" in capsys.readouterr().err
+    assert cli.main([str(folder)]) == 1 and "not a file" in capsys.readouterr().err
+
+
 def test_errors(spark, tmp_path, capsys):
     (tmp_path / "a.xlsx").write_bytes(bytes.fromhex("d0cf11e0a1b11ae1") + b"x" * 64)
     (tmp_path / "b.xlsx").write_bytes(workbook_bytes(BOOKS["types"])[:200])
