@@ -436,7 +436,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(nodes: DataFrame) -> DataFrame | None:
     """Verified links (a, b) that connect what links connect, or None without any."""
-    lists = _lists(nodes)
+    lists, open_ = _lists(nodes), None
     entries = lists.withColumn("comp", F.col("node"))
     edges = None
     for turn in ("first", "some", "all"):
@@ -446,10 +446,11 @@ def linked(nodes: DataFrame) -> DataFrame | None:
             pairs = _candidates(short, short, True).union(_candidates(long_, long_.join(middle, ["key", "node"]), False))
         elif turn == "some":
             # the most central node of some components of each list
-            of = long_.groupBy("key", "comp").agg(F.max(F.struct("mid", "node")).alias("x"), F.count("*").alias("c"))
+            of = long_.groupBy("key", "comp").agg(F.max(F.struct("mid", "node")).alias("x"), F.count("*").alias("c")).join(open_, "key", "left_semi")
             some = of.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), F.desc("x")))).filter(F.col("at") <= PIVOTS)
             pairs = _candidates(long_, long_.join(some.select("key", F.col("x.node").alias("node")), ["key", "node"]), False)
         else:
+            long_ = written(long_.join(open_, "key", "left_semi"), "jaccard-open")
             pairs = _candidates(long_, long_, True)
         pairs = written(pairs, "jaccard-pairs")
         good = _verified(pairs, nodes)
@@ -464,9 +465,9 @@ def linked(nodes: DataFrame) -> DataFrame | None:
             break
         comp = None if edges is None else written(components(edges), "jaccard-comp")
         entries = left.withColumn("comp", F.col("node")) if comp is None else left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        entries = written(entries.join(open_, "key", "left_semi"), "jaccard-open")
-        if entries.isEmpty():
+        entries = written(entries, "jaccard-entries")
+        open_ = written(entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "jaccard-open-keys")
+        if open_.isEmpty():
             break
     drop_written(lists)
     return edges
