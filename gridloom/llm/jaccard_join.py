@@ -19,9 +19,8 @@ differs from any partner in at most slack(n) = n - ceil(0.8 n) of them.
    two that n lies over; a node whose partners may lie under it is indexed for
    that power too.
 3. Candidates.  Lists of the same nodes are one list.  Short lists are taken in
-   full; long ones against their most central node, then, as far as they join
-   different components, against some nodes more, then in full.  A pair is taken
-   in the first list only that it has in common (as far as the last ``WINDOW`` keys
+   full; long ones against their most central nodes, then, as far as they still
+   join different components, in full.  A pair is taken in the first list only that it has in common (as far as the last ``WINDOW`` keys
    of both tell), and only where sizes and xor sketches of the sets allow a link.
 4. Verification on the whole token sets (tokens of one node alone can't meet).
 
@@ -51,8 +50,8 @@ ABOVE, UNDER = 4, 5
 PAIRS_FROM, TRIPLES_FROM = 5, 16
 #: Lists of up to so many nodes are taken in full at once.
 SHORT_LIST = 32
-#: Further nodes that a long list is held against before it is taken in full.
-PIVOTS = 16
+#: Nodes that a long list is held against before it is taken in full: the most central of each of so many shares.
+PIVOTS = 4
 #: Earlier keys of a node that are looked at to see a pair's first list.
 WINDOW = 16
 #: 64-bit words of a sketch.
@@ -436,39 +435,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked(nodes: DataFrame) -> DataFrame | None:
     """Verified links (a, b) that connect what links connect, or None without any."""
-    lists, open_ = _lists(nodes), None
+    lists = _lists(nodes)
     entries = lists.withColumn("comp", F.col("node"))
-    edges = None
-    for turn in ("first", "some", "all"):
-        short, long_ = entries.filter(F.col("m") <= SHORT_LIST), entries.filter(F.col("m") > SHORT_LIST)
-        if turn == "first":
-            middle = long_.groupBy("key").agg(F.max(F.struct("mid", "node")).alias("x")).select("key", F.col("x.node").alias("node"))
-            pairs = _candidates(short, short, True).union(_candidates(long_, long_.join(middle, ["key", "node"]), False))
-        elif turn == "some":
-            # the most central node of some components of each list
-            of = long_.groupBy("key", "comp").agg(F.max(F.struct("mid", "node")).alias("x"), F.count("*").alias("c")).join(open_, "key", "left_semi")
-            some = of.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("c"), F.desc("x")))).filter(F.col("at") <= PIVOTS)
-            pairs = _candidates(long_, long_.join(some.select("key", F.col("x.node").alias("node")), ["key", "node"]), False)
+    short, long_ = entries.filter(F.col("m") <= SHORT_LIST), entries.filter(F.col("m") > SHORT_LIST)
+    bucket = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    middle = long_.groupBy("key", bucket.alias("bucket")).agg(F.max(F.struct("mid", "node")).alias("x")).select("key", F.col("x.node").alias("node"))
+    edges = _verified(written(_candidates(short, short, True).union(_candidates(long_, long_.join(middle, ["key", "node"]), False)), "jaccard-pairs"), nodes)
+    edges = None if edges.isEmpty() else edges
+    left = lists.filter(F.col("m") > SHORT_LIST)
+    if not left.isEmpty():
+        # long lists that still join different components are taken in full
+        if edges is None:
+            entries = left.withColumn("comp", F.col("node"))
         else:
-            long_ = written(long_.join(open_, "key", "left_semi"), "jaccard-open")
-            pairs = _candidates(long_, long_, True)
-        pairs = written(pairs, "jaccard-pairs")
-        good = _verified(pairs, nodes)
-        drop_written(pairs)
-        if not good.isEmpty():
-            edges = good if edges is None else written(edges.union(good), "jaccard-edges")
-        if turn == "all":
-            break
-        # long lists that still join different components go on
-        left = lists.filter(F.col("m") > SHORT_LIST)
-        if left.isEmpty():
-            break
-        comp = None if edges is None else written(components(edges), "jaccard-comp")
-        entries = left.withColumn("comp", F.col("node")) if comp is None else left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        entries = written(entries, "jaccard-entries")
-        open_ = written(entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "jaccard-open-keys")
-        if open_.isEmpty():
-            break
+            comp = written(components(edges), "jaccard-comp")
+            entries = written(left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-entries")
+        open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        entries = written(entries.join(open_, "key", "left_semi"), "jaccard-open")
+        more = _verified(written(_candidates(entries, entries, True), "jaccard-pairs"), nodes)
+        if not more.isEmpty():
+            edges = more if edges is None else written(edges.union(more), "jaccard-edges")
     drop_written(lists)
     return edges
 
