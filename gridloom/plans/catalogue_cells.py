@@ -13,8 +13,6 @@ from .catalogue import BANDS, EV, QUERIES, SQL, _event_bands, _events, _t, query
 __all__ = ["QUERIES", "SQL"]
 
 LABELS = ["Date", " Period : ", "YEAR", "Order Qtr", "날짜별", "amount", ":month:", "quarter-end", "기간", "dates", "  "]
-_NONE_L, _NONE_D = F.lit(None).cast("long"), F.lit(None).cast("double")
-
 
 def _sql_list(items) -> str:
     return ",".join("'" + x.replace("'", "''") + "'" for x in items)
@@ -45,8 +43,10 @@ def axis_label_rules(spark, d):
 def axis_value_kinds(spark, d):
     o = _t(spark, d, "orders")
     key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double") / 30
-    of = lambda kind, l=_NONE_L, x=_NONE_D: o.select("o_orderkey", F.lit(kind).alias("kind"), l.alias("l"), x.alias("d"))  # noqa: E731, E741
-    t = of("int", key.cast("long")).union(of("float", x=F.when(key % 2 == 0, F.floor(price)).otherwise(price).cast("double"))).union(of("datetime")).union(of("time"))
+    none_l, none_d = F.lit(None).cast("long"), F.lit(None).cast("double")
+    of = lambda kind, l, x: o.select("o_orderkey", F.lit(kind).alias("kind"), l.alias("l"), x.alias("d"))  # noqa: E731, E741
+    t = of("int", key.cast("long"), none_d).union(of("float", none_l, F.when(key % 2 == 0, F.floor(price)).otherwise(price).cast("double")))
+    t = t.union(of("datetime", none_l, none_d)).union(of("time", none_l, none_d))
     a = (F.col("kind"), F.lit(None).cast("string"), F.col("l"), F.col("d"))
     return t.select("o_orderkey", "kind", X.axis_value_gate(*a).alias("gate"), X.axis_value_bonus(*a[:2]).alias("bonus"), X.axis_value_rows(*a).alias("rows_rule"), X.axis_value_strict(*a[:2]).alias("strict"))
 
