@@ -145,7 +145,7 @@ def timeseries_header_bonus(spark, d):
 
 @query(
     "with r as (select l_suppkey g, l_orderkey, l_shipdate, row_number() over(partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey) as row from lineitem qualify row<=12),"
-    " v as (select g, row, case when row<=1+g%3 then (case when (g+row)%4=0 then 'date' when (g+row)%4=1 then null else 'title' end) when (g+row)%6=0 then 'x' else strftime(l_shipdate,'%Y-%m') end s, 2+(l_orderkey%8) others from r),"
+    " v as (select g, row, case when row<=1+g%3 then (case when (g+row)%4=0 then 'date' when (g+row)%4=1 then null else 'title' end) when (g+row)%6=0 then 'x' else strftime(l_shipdate,'%Y-%m') end s, 6+(l_orderkey%4) others from r),"
     " p as (select g, row, s, coalesce(regexp_full_match(s,'[0-9]{4}-[0-9]{2}'), false) axis, others + case when s is null then 0 else 1 end filled from v),"
     " w as (select *, count(*) filter(where axis) over(partition by g order by row rows between 1 following and 3 following) below, coalesce(lead(axis) over(partition by g order by row), false) nxt from p)"
     " select g as l_suppkey, min(row) header_row from w where filled>=8 and below>=2 and (s='date' or (s is null and nxt)) group by g"
@@ -158,7 +158,7 @@ def wide_axis_header(spark, d):
     top = F.when((g + row) % 4 == 0, "date").when((g + row) % 4 != 1, "title")
     s = F.when(row <= 1 + g % 3, top).otherwise(F.when((g + row) % 6 == 0, "x").otherwise(F.date_format("l_shipdate", "yyyy-MM")))
     axis = r.select("g", "row", F.lit(1).alias("col"), F.lit("string").alias("kind"), s.alias("s")).filter("s IS NOT NULL")
-    rest = r.select("g", "row", F.explode(F.sequence(F.lit(2), (F.col("l_orderkey") % 8 + 3).cast("int"))).alias("col"), F.lit("int").alias("kind"), F.lit(None).cast("string").alias("s"))
+    rest = r.select("g", "row", F.explode(F.sequence(F.lit(2), (F.col("l_orderkey") % 4 + 7).cast("int"))).alias("col"), F.lit("int").alias("kind"), F.lit(None).cast("string").alias("s"))
     cells = axis.union(rest).withColumns({"l": F.lit(1).cast("long"), "d": F.lit(None).cast("double")})
     extents = r.groupBy("g").agg(F.max("row").alias("n"), F.lit(10).alias("width"))
     wide = header.wide_axis_rows(cells, extents, ["g"])

@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -74,19 +76,24 @@ def test_headers_of_all_fields_by_brute_force(spark, tmp_path):
     }
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {i: brute_scores(t or "") for i, t in texts.items()}
-    got = {(r["g"], r["row"]): r["score"] for r in catalogue.header_score_all_fields(spark, str(tmp_path)).collect()}
+    got = {(r["g"], r["row"]): r["score"] for r in catalogue.QUERIES["header_score_all_fields"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx({(i, r): x for i, s in want.items() for r, x in s.items()}, abs=2e-6)
-    picks = {r["g"]: r["header_row"] for r in catalogue.header_pick_all_fields(spark, str(tmp_path)).collect()}
+    picks = {r["g"]: r["header_row"] for r in catalogue.QUERIES["header_pick_all_fields"](spark, str(tmp_path)).collect()}
     assert picks == {i: max(s, key=lambda r: (round(s[r], 6), -r)) for i, s in want.items() if s}
-    first = {r["g"]: r["header_row"] for r in catalogue.header_pick(spark, str(tmp_path)).collect()}
+    first = {r["g"]: r["header_row"] for r in catalogue.QUERIES["header_pick"](spark, str(tmp_path)).collect()}
     assert first[1] != picks[1] == 1
 
 
 def test_names_are_unique(spark, tiny):
-    rows = catalogue.dedupe_names(spark, tiny).collect()
+    rows = catalogue.QUERIES["dedupe_names"](spark, tiny).collect()
     assert len({r["unique_name"] for r in rows}) == len(rows)
 
 
+def test_queries_can_be_listed_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_entry_and_registries(spark):
     import __spark_entry__ as entry
 
