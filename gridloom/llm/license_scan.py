@@ -234,8 +234,10 @@ class Model:
 def train(docs: DataFrame) -> Model:
     total = docs.count()
     every = max(1, total // SAMPLE_DOCUMENTS)
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.explode(F.split("text", "\n")).alias("line"))
-    return Model([r["line"] for r in some.limit(SAMPLE_LINES).collect() if r["line"]])
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    # those of the least hashes, so that the model is the same however the table is dealt out
+    drawn = some.withColumn("h", F.xxhash64("doc_id", "at", "line")).orderBy("h", "doc_id", "at", "line").limit(SAMPLE_LINES)
+    return Model([r["line"] for r in drawn.collect() if r["line"]])
 
 
 def license_scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
