@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,7 +34,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     unset (a single machine) a local one is taken.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local["):
+    if base is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     path = f"{(base or LOCAL_SCRATCH).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
