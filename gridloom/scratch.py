@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -17,8 +18,10 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     and lost executors take nothing away.  Files go when the session's JVM ends.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL
-    path = f"{base.rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(base or LOCAL).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
