@@ -3,9 +3,10 @@
 A record's key is a hash of its text followed by its id, so that equal texts
 lie together.  A size-weighted sample of keys gives quantile boundaries, the
 records are range-partitioned by them, and each range is summed.  Ranges that
-hold more than their share (one text with very many copies, or bad luck of the
-sample) are subdivided by a second key, the id hash, before any window runs
-over them, so no task gets a hot text as a whole.  The exact running size of
+hold more than their share are subdivided before any window runs over them, by
+what was measured: a text that fills a share by itself gets a range of its own,
+cut by the id hash, and the rest of the range is cut by the key.  So no task
+gets a hot text as a whole, however the sample fell.  The exact running size of
 the ranges then fixes the shard of each record.
 """
 
@@ -19,24 +20,34 @@ from .common import read_table, shuffle_width, written
 SHARDS = 40
 #: Bytes counted for a record beside its text.
 RECORD_OVERHEAD = 16
-#: Keys drawn for the splitters: a bounded sample, for boundaries only.
-SAMPLE_KEYS = 20_000
+#: Keys drawn for the splitters, and a range at least: a bounded sample, for boundaries only.
+SAMPLE_KEYS, KEYS_A_RANGE = 20_000, 8
 #: A group of equal texts stays in one shard up to this share of a shard's size.
 WHOLE_GROUP_SHARE = 0.01
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """Number of boundaries at or below the key, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
+def _spread(key: Column, low: Column, high: Column, parts: Column) -> Column:
+    """Which of so many equal parts of low .. high a key falls in; never falls with the key."""
+    at = F.floor((key.cast("double") - low) / (high - low) * parts)
+    return F.greatest(F.lit(0), F.least(at, parts - 1)).cast("int")
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds))
+def _ranged(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """``rows`` with rng, the number of boundaries at or below the key g.
+
+    Keys are hashes, so equal slices of their space hold few boundaries each;
+    a row is held against those of its own slice.
+    """
+    spark, slices = rows.sparkSession, len(bounds) + 1
+    slice_of = _spread(F.col("g"), F.lit(-(2.0**63)), F.lit(2.0**63), F.lit(slices))
+    cuts = spark.createDataFrame([(b,) for b in bounds], "g long").withColumn("slice", slice_of)
+    cuts = cuts.groupBy("slice").agg(F.sort_array(F.collect_list("g")).alias("cuts"))
+    every = spark.range(slices).select(F.col("id").cast("int").alias("slice")).join(cuts, "slice", "left")
+    every = every.select("slice", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts"))
+    earlier = F.sum(F.size("cuts")).over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    every = every.withColumn("base", F.coalesce(earlier, F.lit(0)).cast("int"))
+    below = F.size(F.filter("cuts", lambda c: c <= F.col("g")))
+    return rows.withColumn("slice", slice_of).join(F.broadcast(every), "slice").withColumn("rng", F.col("base") + below).drop("slice", "cuts", "base")
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,29 +73,34 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges: int | None = N
     ranges = ranges or max(4 * shuffle_width(spark), 4)
 
     # Size-weighted sample: a record is drawn with probability in proportion to its size.
-    weight = F.col("size") * F.lit(SAMPLE_KEYS / max(total, 1))
-    uniform = (F.pmod(F.xxhash64("d", "g", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    drawn = [r[0] for r in rows.filter(uniform < weight).select("g").collect()]
-    drawn.sort()
-    step = max(1, len(drawn) // ranges)
-    cuts = drawn[step::step]
-    bounds = sorted(set(cuts))
-
-    # A text hash that fills more than one quantile is overfull: its records get sub-ranges by the id hash.
-    copies: dict[int, int] = {}
-    for c in cuts:
-        copies[c] = copies.get(c, 0) + 1
-    hot = {k: n for k, n in copies.items() if n > 1}
-    part = F.lit(0)
-    for k, n in hot.items():
-        part = F.when(F.col("g") == k, F.floor((F.shiftrightunsigned(F.col("d"), 1) / F.lit(float(1 << 63))) * F.lit(4 * n)).cast("int")).otherwise(part)
-    placed = rows.withColumn("rng", _range_of(F.col("g"), bounds)).withColumn("own", F.col("g").isin(list(hot)) if hot else F.lit(False)).withColumn("sub", part)
+    weight = F.col("size") * F.lit(max(SAMPLE_KEYS, KEYS_A_RANGE * ranges) / max(total, 1))
+    uniform = F.pmod(F.xxhash64("d", "g", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = sorted(r[0] for r in rows.filter(uniform < weight).select("g").collect())
+    bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
+    placed = _ranged(rows, bounds)
+
+    # Overfull ranges, as measured; there are at most as many as shares, and so of texts that fill one.
+    share = max(total / ranges, 1.0)
+    full = {r["rng"]: r["bytes"] for r in placed.groupBy("rng").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > share).collect()}
+    over = spark.createDataFrame(list(full), "int").toDF("rng") if full else None
+    hot = [] if over is None else placed.join(F.broadcast(over), "rng").groupBy("rng", "g").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > share).collect()
+    rest = dict(full)
+    for r in hot:
+        rest[r["rng"]] -= r["bytes"]
+    edge = [-(2.0**63), *map(float, bounds), 2.0**63]
+    cut = [(k, edge[k], max(edge[k + 1], edge[k] + 4096.0), int(n // share) + 1) for k, n in rest.items()]
+    cut = spark.createDataFrame(cut, "rng int, low double, high double, parts int")
+    own = spark.createDataFrame([(r["g"], int(r["bytes"] // share) + 1) for r in hot], "g long, own_parts int")
+    placed = placed.join(F.broadcast(cut), "rng", "left").join(F.broadcast(own), "g", "left")
+    by_id = _spread(F.col("d"), F.lit(-(2.0**63)), F.lit(2.0**63), F.col("own_parts"))
+    by_key = _spread(F.col("g"), F.col("low"), F.col("high"), F.col("parts"))
+    placed = placed.withColumn("own", F.col("own_parts").isNotNull())
+    placed = placed.withColumn("g_part", F.when(F.col("own"), F.col("g"))).withColumn("sub", F.coalesce(F.when(F.col("own"), by_id), by_key, F.lit(0)))
 
     # Sizes of ranges; at most a few times the number of splitters, whatever the input.
     cell = ["rng", "own", "g_part", "sub"]
-    placed = placed.withColumn("g_part", F.when(F.col("own"), F.col("g")).otherwise(F.lit(None).cast("long")))
-    cells = placed.groupBy(*cell).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    # within a range the hot text stands first: it is the range's lower boundary
+    cells = placed.groupBy(*cell).agg(F.sum("size").alias("bytes")).collect()
+    # within a range the hot texts stand first
     cells.sort(key=lambda r: (r["rng"], not r["own"], r["g_part"] or 0, r["sub"]))
     start, table = 0, []
     for r in cells:
