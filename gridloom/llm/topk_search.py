@@ -6,7 +6,10 @@ that the first coordinates carry most of a product and the rest is bounded by
 Cauchy-Schwarz on the residual lengths.  Each query starts from the k-th score
 among the longest vectors, a fixed number of them; chunks, blocks and pairs
 whose bound is below a query's threshold are passed over, and what is left is
-scored in exact integers.  Queries and candidates meet in cells of bounded size.
+scored in exact integers.  Queries and candidates meet in cells of bounded size:
+queries are dealt into blocks by the least length a candidate must have for them
+(threshold over own length), so a chunk meets the first blocks only, those with a
+query that its longest vector can reach, and no copy of it is made for the others.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table, shuffle_width, written
 
@@ -27,6 +31,8 @@ HEAD = 2048
 CHUNK_ROWS = 4096
 QUERY_BLOCK = 4096
 BLOCK = 512
+#: Intervals of a column at most; sketches of quantiles tell no more apart.
+INTERVALS = 5000
 #: Coordinates in the first partial sum, as a share of the energy.
 HEAD_ENERGY = 0.8
 #: Products below this are exact in double precision.
@@ -99,72 +105,113 @@ def _products(q: np.ndarray, c: np.ndarray, bound: float) -> np.ndarray:
     return q @ c.T
 
 
+def _asked(queries: DataFrame, head_ids: np.ndarray, head: np.ndarray, head_norm: float, dim: int, k: int) -> DataFrame:
+    """(vec_id, v, q, norm, tau, least): a threshold for each query row, and the least length of a candidate that can reach it; q tells query rows of one id apart."""
+
+    def run(batches):
+        for b in batches:
+            q = _matrix(b.column("v").to_pylist(), dim)
+            if not len(q):
+                continue
+            ids, norm = b.column("vec_id").to_numpy(), b.column("norm").to_numpy()
+            tau = np.full(len(q), np.iinfo(np.int64).min)
+            for lo in range(0, len(q), 256):
+                s = _products(q[lo : lo + 256], head, float(norm[lo : lo + 256].max()) * head_norm)
+                for i in range(len(s)):
+                    own = s[i][head_ids != ids[lo + i]]
+                    if len(own) >= k:
+                        tau[lo + i] = np.partition(own, len(own) - k)[len(own) - k]
+            # by a margin for rounding; 0 where any candidate may do
+            least = np.maximum((tau.astype(float) - 1e-6) / np.maximum(norm, 1e-300) / (1 + 1e-12), 0)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "v", "q", "norm")), pa.array(tau), pa.array(least)], names=["vec_id", "v", "q", "norm", "tau", "least"])
+
+    return queries.select("vec_id", "v", "q", "norm").mapInArrow(run, "vec_id long, v binary, q long, norm double, tau long, least double")
+
+
+def _cuts(df: DataFrame, column: str, rows: int, size: int) -> np.ndarray:
+    """Values that cut a column of so many rows into intervals of about ``size``, ascending; wider ones from ``INTERVALS`` on, which are dealt out."""
+    parts = min(-(-rows // size), INTERVALS)
+    if parts < 2:
+        return np.empty(0)
+    return np.array(sorted(set(df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 10_000)).first()[0])))
+
+
+def _with_interval(df: DataFrame, column: str, cuts: np.ndarray) -> DataFrame:
+    """``df`` with iv, the number of cuts at or below a column."""
+    shared = df.sparkSession.sparkContext.broadcast(cuts)
+
+    def run(batches):
+        for b in batches:
+            iv = np.searchsorted(shared.value, b.column(column).to_numpy(), side="right")
+            yield b.append_column("iv", pa.array(iv.astype(np.int32)))
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("iv", T.IntegerType())]))
+
+
 def top_products(df: DataFrame, k: int = TOP, every: int = QUERY_EVERY) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest products of each query.
+    """query_id, rank, vec_id, score: the k highest products of each query row.
 
     Null vectors and ids, and vectors with null or non-finite components, take
     no part.  Vectors of different lengths are compared over the components
-    that both have.  Rows with a query's own id are no candidates for it, so
-    repeated ids never match each other.  Empty tables give no rows.
+    that both have; very long ones are scaled one at a time.  Rows with a
+    query's own id are no candidates for it, so repeated ids never match each
+    other.  Each row of a repeated query id is a query of its own, with its own
+    list of k; a repeated candidate stands in a list once for each of its rows.
+    Empty tables give no rows; other columns are not read.
     """
     spark = df.sparkSession
     vectors = written(integer_vectors(df), "topk-vectors")
-    count, dim, queries = vectors.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0)), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()
+    count, dim, asking = vectors.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(0)), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()
     empty = "query_id long, rank int, vec_id long, score long"
-    if not count or not queries or not dim:
+    if not count or not asking or not dim:
         return spark.createDataFrame([], empty)
     rotation, first = _rotation(vectors, dim)
     head = vectors.orderBy(F.desc("norm"), "vec_id").limit(HEAD).collect()
     head_ids = np.array([r["vec_id"] for r in head], np.int64)
     head_m = _matrix([r["v"] for r in head], dim)
-    head_norm = float(head[0]["norm"])
-
-    # Chunks of falling length; a length that very many share is dealt out by id.
-    parts = -(-count // CHUNK_ROWS)
-    cuts = sorted(set(vectors.agg(F.percentile_approx("norm", [i / parts for i in range(1, parts)], 10_000)).first()[0])) if parts > 1 else []
-    interval = F.lit(0)
-    if cuts:
-        interval = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("norm")))
-    laid = vectors.withColumn("iv", interval)
-    info = {r["iv"]: (-(-r["n"] // (2 * CHUNK_ROWS)), r["top"]) for r in laid.groupBy("iv").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()}
-    wide = F.create_map(*[F.lit(x) for i, (n, _) in info.items() for x in (i, n)])
-    chunks = [(i * (1 << 20) + s, top) for i, (n, top) in info.items() for s in range(n)]
-    cand = laid.withColumn("chunk", (F.col("iv") * (1 << 20) + F.pmod(F.xxhash64("vec_id"), wide[F.col("iv")])).cast("long"))
-    blocks = -(-queries // QUERY_BLOCK)
-    chunk_ids = np.array([c for c, _ in chunks], np.int64)
-    chunk_top = np.array([t for _, t in chunks])
-
-    def start(batches):
+
+    # Query rows, dealt out and told apart by a number of their own; written, so that it stays.
+    rows = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).repartition(max(shuffle_width(spark), 1), F.xxhash64("vec_id", "v"))
+    asked = written(_asked(rows.withColumn("q", F.monotonically_increasing_id()), head_ids, head_m, float(head[0]["norm"]), dim, k), "topk-asked")
+
+    # Chunks of falling length, blocks of rising need; what very many share is dealt out by hash.
+    laid = _with_interval(vectors, "norm", _cuts(vectors, "norm", count, CHUNK_ROWS))
+    chunks = laid.groupBy("iv").agg(F.count("*").alias("n"), F.max("norm").alias("top")).collect()
+    waiting = _with_interval(asked, "least", _cuts(asked, "least", asking, QUERY_BLOCK))
+    blocks = sorted(waiting.groupBy("iv").agg(F.count("*").alias("n"), F.min("least").alias("low")).collect(), key=lambda r: r["iv"])
+    part, at = {}, 0
+    for r in blocks:
+        part[r["iv"]] = (at, -(-r["n"] // (2 * QUERY_BLOCK)))
+        at += part[r["iv"]][1]
+    # a chunk's rows go to the blocks before ``reach``; a query's to the chunks with a longest vector as long as it needs
+    lows = np.array([r["low"] for r in blocks])
+    ends = [sum(part[r["iv"]]) for r in blocks]
+    meets = [(r["iv"], -(-r["n"] // (2 * CHUNK_ROWS)), float(r["top"]), ends[n - 1] if (n := int(np.searchsorted(lows, r["top"], side="right"))) else 0) for r in chunks]
+    chunk = spark.createDataFrame(meets, "iv int, wide int, top double, reach int")
+    block = spark.createDataFrame([(iv, b, n) for iv, (b, n) in part.items()], "iv int, base int, wide int")
+    cand = laid.join(F.broadcast(chunk.filter("reach > 0")), "iv").withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.col("wide")).cast("int"))
+    cells = cand.select("iv", "part", "vec_id", "v", "norm", F.explode(F.sequence(F.lit(0), F.col("reach") - 1)).alias("qb"))
+    dealt = waiting.join(F.broadcast(block), "iv").select("vec_id", "v", "q", "norm", "tau", "least", (F.col("base") + F.pmod(F.xxhash64("q"), F.col("wide"))).cast("int").alias("qb"))
+    tops = sorted(meets, key=lambda r: -r[2])
+    shared = spark.sparkContext.broadcast(tops)
+
+    def reached(batches):
+        tops = shared.value
+        lengths = -np.array([t for _, _, t, _ in tops])
+        each = [[(iv, p) for p in range(wide)] for iv, wide, _, _ in tops]
         for b in batches:
-            q = _matrix(b.column("v").to_pylist(), dim)
-            if not len(q):
-                continue
-            ids = b.column("vec_id").to_numpy()
-            norm = b.column("norm").to_numpy()
-            out_i, out_c, out_t = [], [], []
-            for lo in range(0, len(q), 256):
-                s = _products(q[lo : lo + 256], head_m, float(norm[lo : lo + 256].max()) * head_norm)
-                for i in range(len(s)):
-                    own = s[i][head_ids != ids[lo + i]]
-                    tau = int(np.partition(own, len(own) - k)[len(own) - k]) if len(own) >= k else np.iinfo(np.int64).min
-                    reach = chunk_ids[norm[lo + i] * chunk_top * (1 + 1e-12) + 1e-6 >= tau]
-                    out_i.append(np.full(len(reach), lo + i))
-                    out_c.append(reach)
-                    out_t.append(np.full(len(reach), tau))
-            at = np.concatenate(out_i)
-            for lo in range(0, len(at), 20_000):
-                rows = pa.array(at[lo : lo + 20_000])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id").take(rows), b.column("v").take(rows), b.column("norm").take(rows), b.column("qb").take(rows), pa.array(np.concatenate(out_c)[lo : lo + 20_000]), pa.array(np.concatenate(out_t)[lo : lo + 20_000])],
-                    names=["vec_id", "v", "norm", "qb", "chunk", "tau"],
-                )
-
-    asked = vectors.filter(F.pmod("vec_id", F.lit(every)) == 0).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    asked = asked.select("vec_id", "v", "norm", "qb").repartition(max(shuffle_width(spark), 1)).mapInArrow(start, "vec_id long, v binary, norm double, qb int, chunk long, tau long")
-    cells = cand.select("chunk", "vec_id", "v", "norm", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"))
+            upto = np.searchsorted(lengths, -b.column("least").to_numpy(), side="right")
+            for i, n in enumerate(upto):
+                pairs = [p for e in each[:n] for p in e]
+                for lo in range(0, len(pairs), 20_000):
+                    some = pairs[lo : lo + 20_000]
+                    same = pa.array(np.full(len(some), i))
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(same) for c in ("vec_id", "v", "q", "norm", "tau", "qb")), pa.array([x for x, _ in some], pa.int32()), pa.array([x for _, x in some], pa.int32())], names=["vec_id", "v", "q", "norm", "tau", "qb", "iv", "part"])
+
+    asks = dealt.mapInArrow(reached, "vec_id long, v binary, q long, norm double, tau long, qb int, iv int, part int")
 
     def meet(key, c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        none = pd.DataFrame({"query_id": [], "q": [], "vec_id": [], "score": []}).astype("int64")
         if not len(c) or not len(q):
             return none
         c = c.sort_values(["norm", "vec_id"], ascending=[False, True])
@@ -199,10 +246,11 @@ def top_products(df: DataFrame, k: int = TOP, every: int = QUERY_EVERY) -> DataF
         n = [len(x) for x in held_s]
         if not sum(n):
             return none
-        return pd.DataFrame({"query_id": np.repeat(qi, n), "vec_id": np.concatenate(held_i), "score": np.concatenate(held_s)})
+        return pd.DataFrame({"query_id": np.repeat(qi, n), "q": np.repeat(q["q"].to_numpy(), n), "vec_id": np.concatenate(held_i), "score": np.concatenate(held_s)})
 
-    found = cells.groupBy("chunk", "qb").cogroup(asked.groupBy("chunk", "qb")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    cell = ["iv", "part", "qb"]
+    found = cells.groupBy(*cell).cogroup(asks.groupBy(*cell)).applyInPandas(meet, "query_id long, q long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
