@@ -178,6 +178,28 @@ def test_shards_are_even_and_keep_groups(spark):
     assert (cold.groupby("text_crc32").shard.nunique() > 1).sum() <= 10
 
 
+@pytest.mark.parametrize("ranges", [2, 60])
+def test_shards_are_even_whatever_the_sample(spark, monkeypatch, ranges):
+    """A handful of sampled keys: overfull ranges, and hot texts that the sample missed, are found by measure."""
+    monkeypatch.setattr(sharding, "SAMPLE_KEYS", 3)
+    monkeypatch.setattr(sharding, "KEYS_A_RANGE", 0.05)
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2500).cast("string")).alias("text"))
+    hot = [spark.range(1000).select((F.col("id") + 10_000 * k).alias("doc_id"), F.lit(f"hot text {k}").alias("text")) for k in (1, 2)]
+    got = sharding.shard_by_bytes(df.union(hot[0]).union(hot[1]), 10, ranges=ranges).toPandas()
+    assert len(got) == got.doc_id.nunique() == 5000
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 10 and sizes.max() - sizes.min() <= 0.03 * sizes.mean()
+    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+
+
+def test_ranges_are_those_of_the_boundaries(spark):
+    rng = np.random.default_rng(5)
+    bounds = sorted({int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, 300)} | {-(1 << 63), (1 << 63) - 1, 0, 1, 2})
+    keys = [*bounds, *[b + 1 for b in bounds[:-1]], *[b - 1 for b in bounds[1:]], *map(int, rng.integers(-(1 << 63), (1 << 63) - 1, 300))]
+    got = sharding._ranged(spark.createDataFrame([(k,) for k in keys], "g long"), bounds).collect()
+    assert sorted((r["g"], r["rng"]) for r in got) == sorted((k, int(np.searchsorted(np.array(bounds), k, side="right"))) for k in keys)
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(3)
     m = rng.normal(size=(700, 8)).astype(np.float32)
@@ -186,16 +208,28 @@ def test_top_products(spark):
     data += [(900, None), (950, [1.0, None]), (None, [1.0]), (1000, [float("nan")] * 8), (0, [1.0] * 8)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1)).withColumn("score", F.lit(2))
     v = [(i, np.floor(256 * np.array(x, float))) for i, x in data if i is not None and x is not None and None not in x and np.isfinite(x).all()]
-    want = set()
-    for q, a in v:
-        if q % 50 == 0:
-            best = sorted((-int(a @ b), i) for i, b in v if i != q)
-            want |= {(q, i, -s) for s, i in best[:5]} if q else set()
-    got = {(r["query_id"], r["vec_id"], r["score"]) for r in rows(topk_search.top_products(df)) if r["query_id"]}
-    assert got == want
+    # the two rows of id 0 are two queries
+    want = [(q, k + 1, i, -s) for q, a in v if q % 50 == 0 for k, (s, i) in enumerate(sorted((-int(a @ b), i) for i, b in v if i != q)[:5])]
+    assert len([w for w in want if not w[0]]) == 10
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk_search.top_products(df))]
+    assert sorted(got) == sorted(want)
     assert rows(topk_search.top_products(df.limit(0))) == []
 
 
+def test_top_products_over_many_cells(spark, monkeypatch):
+    """Chunks and blocks of a few rows, lengths that differ much, zero vectors, one vector very many times."""
+    for name, value in {"HEAD": 16, "CHUNK_ROWS": 20, "QUERY_BLOCK": 4, "BLOCK": 8}.items():
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(400, 5)) * np.exp(rng.normal(size=(400, 1)))
+    m[100:240], m[300:320] = m[9], 0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    v = np.floor(256 * m).astype(np.int64)
+    want = [(q, k + 1, i, -s) for q in range(0, 400, 10) for k, (s, i) in enumerate(sorted((-int(v[q] @ v[i]), i) for i in range(400) if i != q)[:5])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk_search.top_products(df, every=10))]
+    assert sorted(got) == sorted(want)
+
+
 def test_codec(docs, none):
     path = public_tokenizers.path(WORD_BPE)
     tok = Tokenizer.from_file(path)
