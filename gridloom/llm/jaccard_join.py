@@ -18,10 +18,15 @@ differs from any partner in at most slack(n) = n - ceil(0.8 n) of them.
    can't use up more units than that.  The number of groups follows the power of
    two that n lies over; a node whose partners may lie under it is indexed for
    that power too.
-3. Candidates.  Lists of the same nodes are one list.  Short lists are taken in
-   full; long ones against their most central nodes, then, as far as they still
-   join different components, in full.  A pair is taken in the first list only that it has in common (as far as the last ``WINDOW`` keys
-   of both tell), and only where sizes and xor sketches of the sets allow a link.
+3. Candidates, in turns.  Lists of the same nodes are one list.  Short lists are
+   taken in full; long ones against a few pivots, first the most central nodes.
+   Lists that still join different components go on to the next turn, with eight
+   times as many pivots, drawn by hash, until they count as short and are taken in
+   full.  Components are contracted after each turn and only pairs between two of
+   them are taken, so a node that has many links in a list is joined by its first
+   few, and what is left for a fuller turn has few.  A pair is taken in the first
+   list only that it has in common (as far as the last ``WINDOW`` keys of both
+   tell), and only where sizes and xor sketches of the sets allow a link.
 4. Verification on the whole token sets (tokens of one node alone can't meet).
 
 Counts, order and sketches set the work alone, never the result.
@@ -50,8 +55,10 @@ ABOVE, UNDER = 4, 5
 PAIRS_FROM, TRIPLES_FROM = 5, 16
 #: Lists of up to so many nodes are taken in full at once.
 SHORT_LIST = 32
-#: Nodes that a long list is held against before it is taken in full: the most central of each of so many shares.
+#: Nodes that a long list is held against in the first turn: the most central of each of so many shares.
 PIVOTS = 4
+#: Both grow by this in each turn.
+GROWTH = SHORT_LIST // PIVOTS
 #: Earlier keys of a node that are looked at to see a pair's first list.
 WINDOW = 16
 #: 64-bit words of a sketch.
@@ -397,14 +404,15 @@ def _first_list() -> Column:
     return ~F.arrays_overlap("before", "o_before")
 
 
-def _candidates(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
-    """Pairs (a, b) of a list's entries on the left and on the right; ``once``: both sides are the same."""
+def _candidates(left: DataFrame, right: DataFrame, once: Column | None = None) -> DataFrame:
+    """Pairs (a, b), of components (ca, cb), of a list's entries on the left and on the right; ``once``: which of a pair's two orders is taken."""
     other = _other(right).withColumnRenamed("key", "o_key")
     on = (F.col("key") == F.col("o_key")) & (F.col("comp") != F.col("o_comp"))
-    if once:
-        on &= F.col("node") < F.col("o_node")
+    if once is not None:
+        on &= once
     both = left.join(other, on & _may_link() & _first_list())
-    return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+    low = F.col("node") < F.col("o_node")
+    return both.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"), F.when(low, F.col("comp")).otherwise(F.col("o_comp")).alias("ca"), F.when(low, F.col("o_comp")).otherwise(F.col("comp")).alias("cb")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -412,7 +420,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     meet = F.size(F.array_intersect("t_a", "t_b"))
-    return written(both.filter(UNDER * meet >= ABOVE * (F.col("n_a") + F.col("n_b") - meet)).select("a", "b"), "jaccard-links")
+    return written(both.filter(UNDER * meet >= ABOVE * (F.col("n_a") + F.col("n_b") - meet)).select(*pairs.columns), "jaccard-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -433,30 +441,48 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
 
 
-def linked(nodes: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) that connect what links connect, or None without any."""
-    lists = _lists(nodes)
-    entries = lists.withColumn("comp", F.col("node"))
+def _turn(entries: DataFrame, pivots: int) -> DataFrame:
+    """Candidates of one turn: lists of up to GROWTH * pivots nodes in full, longer ones against their pivots."""
+    order = F.col("node") < F.col("o_node")
+    if pivots > PIVOTS:
+        # the same nodes are drawn in lists of like length, so a pair's first list has the pivot that its others have
+        drawn = F.pmod(F.xxhash64("node", F.lit(pivots)), F.lit(1 << 30)) * F.col("m") < F.lit(pivots << 30)
+        marked = entries.withColumn("pivot", (F.col("m") <= GROWTH * pivots) | drawn)
+        return _candidates(marked, marked.filter("pivot").drop("pivot"), ~F.col("pivot") | order)
     short, long_ = entries.filter(F.col("m") <= SHORT_LIST), entries.filter(F.col("m") > SHORT_LIST)
     bucket = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
     middle = long_.groupBy("key", bucket.alias("bucket")).agg(F.max(F.struct("mid", "node")).alias("x")).select("key", F.col("x.node").alias("node"))
-    edges = _verified(written(_candidates(short, short, True).union(_candidates(long_, long_.join(middle, ["key", "node"]), False)), "jaccard-pairs"), nodes)
-    edges = None if edges.isEmpty() else edges
-    left = lists.filter(F.col("m") > SHORT_LIST)
-    if not left.isEmpty():
-        # long lists that still join different components are taken in full
-        if edges is None:
-            entries = left.withColumn("comp", F.col("node"))
-        else:
-            comp = written(components(edges), "jaccard-comp")
-            entries = written(left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "jaccard-entries")
-        open_ = entries.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        entries = written(entries.join(open_, "key", "left_semi"), "jaccard-open")
-        more = _verified(written(_candidates(entries, entries, True), "jaccard-pairs"), nodes)
-        if not more.isEmpty():
-            edges = more if edges is None else written(edges.union(more), "jaccard-edges")
-    drop_written(lists)
-    return edges
+    return _candidates(short, short, order).union(_candidates(long_, long_.join(middle, ["key", "node"])))
+
+
+def joined(nodes: DataFrame) -> DataFrame | None:
+    """(node, comp) of each node but the least of its component, or None without any link."""
+    lists = _lists(nodes)
+    entries, comp, pivots = lists.withColumn("comp", F.col("node")), None, PIVOTS
+    while True:
+        pairs = written(_turn(entries, pivots), "jaccard-pairs")
+        links = _verified(pairs, nodes)
+        drop_written(pairs)
+        if not links.isEmpty():
+            # edges between the components so far: their number falls with every turn
+            hop = written(components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "jaccard-hops")
+            if comp is None:
+                comp = hop
+            else:
+                to = hop.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+                comp = written(comp.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).union(hop), "jaccard-comp")
+        # longer lists that still join different components
+        left = entries.filter(F.col("m") > GROWTH * pivots).drop("comp")
+        left = left.withColumn("comp", F.col("node")) if comp is None else left.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        left = written(left, "jaccard-entries")
+        open_ = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+        entries, done = written(left.join(open_, "key", "left_semi"), "jaccard-open"), (left, lists if pivots == PIVOTS else entries)
+        for table in done:
+            drop_written(table)
+        if entries.isEmpty():
+            drop_written(entries)
+            return comp
+        pivots *= GROWTH
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -486,12 +512,11 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     held = single.agg(F.sum(F.size("tokens"))).first()[0] or 0
     nodes = _counted(_from_nodes(single, max(shuffle_width(spark), -(-8 * held // PART_BYTES))), "jaccard-able").filter(F.col("tokens").isNotNull())
     drop_written(single)
-    edges = linked(nodes)
+    comp = joined(nodes)
     release(spark)
     # names: each text's node, its set's first node, its component
     texts = table.select("th", "node", "n").join(of, "node", "left").select("th", "n", F.coalesce("rep", "node").alias("node"))
-    if edges is not None:
-        comp = written(components(edges), "jaccard-comp")
+    if comp is not None:
         texts = texts.join(comp, "node", "left").select("th", "n", F.coalesce("comp", "node").alias("node"))
     texts = texts.groupBy("th").agg(F.max("n").alias("n"), F.min("node").alias("node"))
     first = rows.filter("th IS NOT NULL").groupBy("th").agg(F.min("doc_id").alias("first"))

@@ -325,6 +325,28 @@ def test_near_copies_by_brute_force(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(i, len(sets[i]), root(i)) for i in order]
 
 
+def test_links_of_a_large_group_are_contracted(spark, monkeypatch):
+    """The links of near copies grow with the square of their number; the edges that components are made of must not."""
+    rng, copies, seen = np.random.default_rng(3), 400, []
+    base, texts = [f"w{i}" for i in range(100)], []
+    for i in range(copies):
+        words = list(base)
+        for at in rng.integers(0, 100, rng.integers(1, 3)):
+            words[at] = f"x{i}"
+        texts.append(" ".join(words))
+    whole = jaccard_join.components
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: (seen.append(edges.distinct().count()), whole(edges))[1])
+    got = rows(jaccard_join.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert sum(seen) < 4.5 * copies
+    sets = [{tuple(w[k : k + 5]) for k in range(96)} for w in map(str.split, texts)]
+    name = list(range(copies))
+    for a in range(copies):
+        for b in range(a):
+            if name[a] != name[b] and 100 * (meet := len(sets[a] & sets[b])) >= 80 * (192 - meet):
+                name = [min(name[a], name[b]) if x in (name[a], name[b]) else x for x in name]
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == list(enumerate(name))
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
