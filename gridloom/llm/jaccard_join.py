@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import combine, drop_written, mix64, read_table, release, row_key, shuffle_width, trim, written
+from .keyfilter import key_filter, key_test
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers.
@@ -89,6 +90,11 @@ def tokens(text: str | None) -> np.ndarray:
     return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
+def _uid() -> Column:
+    """A node's name, hashed one to one, as the key tests take it."""
+    return F.xxhash64("node").alias("uid")
+
+
 def need(n):
     """Least overlap of a set of n tokens with any partner."""
     return -(-ABOVE * n // UNDER)
@@ -177,13 +183,14 @@ def _from_texts(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("th", "text").mapInArrow(run, POSTINGS)
 
 
-def _from_nodes(nodes: DataFrame, parts: int) -> DataFrame:
-    """POSTINGS of a written table of NODES."""
+def _from_nodes(nodes: DataFrame, first, parts: int) -> DataFrame:
+    """POSTINGS of those nodes of a written table of NODES that ``first`` is true for, by the hashes of their names."""
 
     def run(batches):
         pid, k = TaskContext.get().partitionId(), 0
         for whole in batches:
             trim()
+            whole = whole.filter(pa.array(first(whole.column("uid").to_numpy())))
             for lo in range(0, whole.num_rows, 500):
                 b = whole.slice(lo, 500)
                 col = {c: b.column(c).to_pylist() for c in ("th", "sets", "n", "node")}
@@ -191,7 +198,7 @@ def _from_nodes(nodes: DataFrame, parts: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(_posted(pid * (1 << 23) + k, col["th"], col["sets"], col["n"], col["node"], held, parts), schema=_POSTING_SCHEMA)
                 k += 1
 
-    return nodes.select("th", "sets", "n", "node", "tokens").mapInArrow(run, POSTINGS)
+    return nodes.select("th", "sets", "n", "node", "tokens", _uid()).mapInArrow(run, POSTINGS)
 
 
 def _added(table: pa.Table) -> pa.Table:
@@ -364,7 +371,7 @@ def _outlined(nodes: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             s = [sketch(np.asarray(t.values, np.int64).view(np.uint64)) for t in b.column("tokens")]
-            mid = [float(np.exp2(np.minimum(np.frombuffer(v, np.uint8), 40)).sum() / n) for v, n in zip(b.column("classes").to_pylist(), b.column("n").to_pylist())]
+            mid = [float(np.exp2(np.minimum(np.frombuffer(v, np.uint8), 40), dtype=float).sum() / n) for v, n in zip(b.column("classes").to_pylist(), b.column("n").to_pylist())]
             if s:
                 yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), b.column("r"), pa.array(mid), *map(pa.array, np.stack(s).T)], names=["node", "n", "r", "mid", *words])
 
@@ -417,10 +424,15 @@ def _candidates(left: DataFrame, right: DataFrame, once: Column | None = None) -
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs with Jaccard similarity at or above the threshold, as a written table."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    # a late turn has few pairs: the tokens of the other nodes stay out of its shuffles
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(_uid())
+    held = written(key_filter(ends)(nodes.select("node", "n", "tokens", _uid())).drop("uid"), "jaccard-ends")
+    side = lambda x: held.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     meet = F.size(F.array_intersect("t_a", "t_b"))
-    return written(both.filter(UNDER * meet >= ABOVE * (F.col("n_a") + F.col("n_b") - meet)).select(*pairs.columns), "jaccard-links")
+    links = written(both.filter(UNDER * meet >= ABOVE * (F.col("n_a") + F.col("n_b") - meet)).select(*pairs.columns), "jaccard-links")
+    drop_written(held)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -505,13 +517,12 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     table = _counted(_from_texts(keyed.filter(F.col("text").isNotNull()), parts), "jaccard-nodes")
     release(spark)
     able = table.filter(F.col("tokens").isNotNull())
-    of = able.select("node", "sets").withColumn("rep", F.min("node").over(Window.partitionBy("sets")))
-    of = written(of.select("node", "rep"), "jaccard-equal")
-    single = able.join(of.filter("node = rep").select("node"), "node", "left_semi")
-    single = written(single.select("node", "th", "sets", "n", "tokens"), "jaccard-single")
-    held = single.agg(F.sum(F.size("tokens"))).first()[0] or 0
-    nodes = _counted(_from_nodes(single, max(shuffle_width(spark), -(-8 * held // PART_BYTES))), "jaccard-able").filter(F.col("tokens").isNotNull())
-    drop_written(single)
+    of = able.select("node", "sets", F.size("tokens").alias("held")).withColumn("rep", F.min("node").over(Window.partitionBy("sets")))
+    of = written(of.select("node", "rep", "held"), "jaccard-equal")
+    held = of.filter("node = rep").agg(F.sum("held")).first()[0] or 0
+    # equal sets are told apart where they lie; a join would send all tokens through a shuffle
+    is_first = key_test(of.filter("node = rep").select(_uid()), of.filter("node <> rep").select(_uid()))
+    nodes = _counted(_from_nodes(able, is_first, max(shuffle_width(spark), -(-8 * held // PART_BYTES))), "jaccard-able").filter(F.col("tokens").isNotNull())
     comp = joined(nodes)
     release(spark)
     # names: each text's node, its set's first node, its component

@@ -347,6 +347,48 @@ def test_links_of_a_large_group_are_contracted(spark, monkeypatch):
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == list(enumerate(name))
 
 
+def exchanged(df):
+    """Names of the columns of whole token lists that a plan sends through a shuffle."""
+    todo, names = [df._jdf.queryExecution().executedPlan()], set()
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            plan = plan.initialPlan()
+        if plan.nodeName() == "Exchange":
+            names |= {o.name() for o in (plan.output().apply(i) for i in range(plan.output().size())) if o.dataType().simpleString() == "array<bigint>" and o.name() in ("tokens", "t_a", "t_b")}
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return names
+
+
+def test_tokens_are_shuffled_for_pairs_alone(spark, monkeypatch):
+    """Equal sets are told apart without a shuffle of their tokens, and a turn of few pairs reads the tokens of few nodes."""
+    seen, whole = [], jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "written", lambda df, name: (seen.append((name, exchanged(df))), whole(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        texts = [" ".join(f"w{i // 8}x{k}" for k in range(60)) + (" y" if i % 4 > 1 else "") for i in range(80)]
+        texts = [t.upper() if i % 2 else t for i, t in enumerate(texts)]
+        got = rows(jaccard_join.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)))
+        assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i // 8 * 8) for i in range(80)]
+        assert {name for name, columns in seen if columns} == {"jaccard-links"}
+        held = [[i * 50 + k for k in range(50)] for i in range(4000)]
+        nodes = whole(spark.createDataFrame([(i, 50, t) for i, t in enumerate(held)] + [(5000, 50, held[7]), (5001, 50, [-1, *held[8][1:]])], "node long, n int, tokens array<long>"), "nodes")
+        sizes = []
+        monkeypatch.setattr(jaccard_join, "written", lambda df, name: (sizes.append((name, df.count())), whole(df, name))[1])
+        pairs = spark.createDataFrame([(7, 5000), (8, 5001), (9, 10)], "a long, b long")
+        assert sorted(tuple(r) for r in jaccard_join._verified(pairs, nodes).collect()) == [(7, 5000), (8, 5001)]
+        assert 6 <= dict(sizes)["jaccard-ends"] < 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_central_nodes_are_told_apart_in_large_groups(spark):
+    """A node's tokens that very many others hold add up beyond a small float's range."""
+    nodes = spark.createDataFrame([(i, 100, 100, list(range(100)), bytearray([16] * 90 + [9 + i] * 10)) for i in range(6)], "node long, n int, r int, tokens array<long>, classes binary")
+    mid = {r["node"]: r["mid"] for r in jaccard_join._outlined(nodes).collect()}
+    assert mid == {i: (90 * 2.0**16 + 10 * 2.0 ** (9 + i)) / 100 for i in range(6)}
+
+
 def test_packing(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
